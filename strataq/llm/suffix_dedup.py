@@ -2,8 +2,8 @@
 
 Not every suffix is indexed. Of the q-grams in each LENGTH-byte string the one with the smallest hash is its anchor
 (the leftmost, if tied). Equal strings have equal anchors, at equal places, so the suffixes at anchors suffice, with
-the LENGTH - Q bytes before them: about one suffix in sixteen. Anchors found in one document only are dropped; the
-others are dealt by sampled splitters over their leading bytes, sorted in their bucket by multikey quicksort, and
+the LENGTH - Q bytes before them: about one suffix in sixteen. Anchors that
+no other document has with the same HALF bytes on one side are dropped; the others are dealt by sampled splitters over their leading bytes, sorted in their bucket by multikey quicksort, and
 compared with their neighbours. Equal strings have the same leading bytes at their anchor, so no group of equal
 strings lies across a splitter.
 """
@@ -24,37 +24,46 @@ from strataq.llm import common
 LENGTH, Q = 50, 20
 WINDOW = LENGTH - Q + 1  # q-grams in a string
 REACH = LENGTH - Q  # most bytes before the anchor
+HALF = REACH // 2
 #: Bytes of text that are hashed at a time, and that are gathered before anchors are handed on.
 CHUNK, FLUSH = 2 << 20, 16 << 20
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P1 = np.uint64(0x9E3779B97F4A7C15)
-_SHARED = 0xFFFF
 
 
 class Runs(NamedTuple):
-    """Runs of strings with one anchor: document number, anchor, first and last start (bytes of the document), anchor's hash."""
+    """Runs of strings with one anchor: document number, anchor, first and last start (bytes of the document), hashes.
+
+    left and right are hashes of the anchor with the HALF bytes before and after it, 0 where the text has fewer. A
+    string with this anchor holds one of the two.
+    """
 
     doc: np.ndarray
     anchor: np.ndarray
     first: np.ndarray
     last: np.ndarray
     hash: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_P1), n, 1 << 64))
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Hash of the Q bytes from each place on."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the Q bytes and, unmixed, of the 16 bytes from each place on."""
     h = {1: _BYTE[data]}
     for n in (1, 2, 4, 8):
         h[2 * n] = h[n][:-n] * _power(n) + h[n][n:]
-    out = h[16][: len(data) - Q + 1] * _power(4) + h[4][16 : len(data) - Q + 17]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    return _mixed(h[16][: len(data) - Q + 1] * _power(4) + h[4][16 : len(data) - Q + 17]), h[16]
 
 
 def anchors(texts: list[bytes]) -> Iterator[Runs]:
@@ -78,7 +87,7 @@ def anchors(texts: list[bytes]) -> Iterator[Runs]:
 def _runs(held: list[tuple[int, int, bytes]]) -> Runs:
     data = np.frombuffer(b"".join(p for _, _, p in held), dtype=np.uint8)
     sizes = np.array([len(p) for _, _, p in held])
-    h = _grams(data)
+    h, wide = _grams(data)
     low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= WINDOW:
@@ -95,54 +104,75 @@ def _runs(held: list[tuple[int, int, bytes]]) -> Runs:
     end = np.concatenate([new[1:] - 1, [len(at) - 1]])
     piece = which[new]
     shift = np.array([a for _, a, _ in held])[piece] - begin[piece]
-    return Runs(np.array([i for i, _, _ in held])[piece], at[new] + shift, start[new] + shift, start[end] + shift, h[at[new]])
+    p, a, z = at[new], start[new], start[end] + LENGTH  # the run's bytes are a..z
+    left = _pair(h, wide, p, p - HALF, p - HALF >= a)
+    right = _pair(h, wide, p, p + Q + HALF - 16, p + Q + HALF <= z)
+    return Runs(np.array([i for i, _, _ in held])[piece], p + shift, a + shift, start[end] + shift, h[p], left, right)
+
+
+def _pair(h: np.ndarray, wide: np.ndarray, p: np.ndarray, other: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Hash of the anchor with the 16 bytes at `other`, which overlap or touch it; 0 where no string of the run holds both."""
+    out = _mixed(h[p] * _P1 + wide[np.where(whole, other, p)]) | np.uint64(1)
+    return np.where(whole, out, np.uint64(0))
 
 
 def _joined(parts: list[Runs]) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _several(order_key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key then document; for each place in it, whether its key is in two documents or more."""
-    order = np.lexsort((doc, order_key))
-    k, d = order_key[order], doc[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    other = np.concatenate([[False], (k[1:] == k[:-1]) & (d[1:] != d[:-1])])
+def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each key other than 0 is in two documents or more."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
     group = np.cumsum(new) - 1
-    return order, np.bincount(group, other)[group] > 0
+    d = doc[order]
+    other = d != d[np.flatnonzero(new)][group]
+    out = np.zeros(len(key), dtype=bool)
+    out[order] = (np.bincount(group, other)[group] > 0) & (k != 0) if len(k) else False
+    return out
 
 
-PROPOSED = "bucket int, sure boolean, docs binary, idx binary, keys binary, pos binary"
+_ARRAYS = ("docs", "idx", "left", "right", "low", "high", "left_marks", "right_marks")
+PROPOSED = "bucket int, sure boolean, " + ", ".join(f"{x} binary" for x in _ARRAYS)
 
 
 def _propose(buckets: int):
-    """Anchors of each part of the table by bucket; those in two of its documents are known to repeat and pass with one mark."""
+    """Anchors of each part of the table by bucket.
+
+    Those that two of the part's documents have are known to repeat: they are sent as such, to buckets in turn, and
+    only one mark for each of their fingerprints goes to the bucket that compares it.
+    """
+
+    def row(bucket, sure, doc, left, right, pos, docs, marks=None):
+        present, idx = np.unique(doc, return_inverse=True)
+        none = np.zeros(0, np.uint32)
+        arrays = (docs[present], idx.astype(np.uint16), left, right, (pos & 0xFFFF).astype(np.uint16), (pos >> 16).astype(np.uint16), *(marks or (none, none)))
+        return (bucket, sure, *(x.tobytes() for x in arrays))
 
     def flush(ids: list[int], parts: list[Runs], turn: int) -> Iterator[pd.DataFrame]:
         r = _joined(parts)
-        order, many = _several(r.hash, r.doc)
-        doc, pos, h = r.doc[order].astype(np.uint16), r.anchor[order].astype(np.uint32), r.hash[order]
-        docs = np.array(ids, dtype=np.int64)
+        docs, none = np.array(ids, dtype=np.int64), np.zeros(0, np.uint32)
+        many = _shared(r.left, r.doc) | _shared(r.right, r.doc)
+        pos, bucket = r.anchor.astype(np.uint32), (r.hash % np.uint64(buckets)).astype(np.int64)
+        left, right = ((x >> np.uint64(32)).astype(np.uint32) | (x != 0).astype(np.uint32) for x in (r.left, r.right))
+        marks = []
+        for x in (left, right):
+            keys = np.unique((bucket[many & (x != 0)].astype(np.uint64) << np.uint64(32)) | x[many & (x != 0)])
+            at = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            marks.append((keys.astype(np.uint32), at))
         rows = []
         if many.any():
-            rows.append((turn % buckets, True, docs.tobytes(), doc[many].tobytes(), b"", pos[many].tobytes()))
-            mark = many & np.concatenate([[True], h[1:] != h[:-1]])
-            doc = np.where(mark, np.uint16(_SHARED), doc)
-            keep = ~many | mark
-            doc, pos, h = doc[keep], pos[keep], h[keep]
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        key = (h >> np.uint64(32)).astype(np.uint32)
+            rows.append(row(turn % buckets, True, r.doc[many], none, none, pos[many], docs))
+        own = np.flatnonzero(~many)
+        own = own[np.argsort(bucket[own], kind="stable")]
+        edges = np.searchsorted(bucket[own], np.arange(buckets + 1))
         for b in range(buckets):
-            own = by[edges[b] : edges[b + 1]]
-            if len(own):
-                real = doc[own] != _SHARED
-                present, local = np.unique(doc[own][real], return_inverse=True)
-                idx = np.full(len(own), _SHARED, dtype=np.uint16)
-                idx[real] = local
-                rows.append((b, False, docs[present].tobytes(), idx.tobytes(), key[own].tobytes(), pos[own].tobytes()))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in PROPOSED.split(", ")])
+            i = own[edges[b] : edges[b + 1]]
+            here = tuple(keys[at[b] : at[b + 1]] for keys, at in marks)
+            if len(i) or len(here[0]) or len(here[1]):
+                rows.append(row(b, False, r.doc[i], left[i], right[i], pos[i], docs, here))
+        yield pd.DataFrame(rows, columns=["bucket", "sure", *_ARRAYS])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -171,25 +201,27 @@ def _all_runs(parts: list[tuple[int, bytes]]) -> list[Runs]:
 
 
 def _repeating(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: (doc_id, places) of the anchors that are in two documents or more."""
-    doc, pos, key, out = [], [], [], []
+    """One bucket: (doc_id, places) of the anchors of which a fingerprint is in two documents or more."""
+    of = {"docs": np.int64, "idx": np.uint16, "low": np.uint16, "high": np.uint16}
+    out, held, marks = [], [], ([], [])
     for r in pdf.itertuples():
-        docs, idx = np.frombuffer(r.docs, np.int64), np.frombuffer(r.idx, np.uint16)
+        x = {n: np.frombuffer(getattr(r, n), of.get(n, np.uint32)) for n in _ARRAYS}
+        doc, pos = x["docs"][x["idx"]], x["low"].astype(np.uint32) | (x["high"].astype(np.uint32) << np.uint32(16))
         if r.sure:
-            out.append((docs[idx], np.frombuffer(r.pos, np.uint32)))
-            continue
-        doc.append(np.where(idx == _SHARED, np.int64(-(2**62)), docs[np.where(idx == _SHARED, 0, idx)] if len(docs) else np.int64(-(2**62))))
-        pos.append(np.frombuffer(r.pos, np.uint32))
-        key.append(np.frombuffer(r.keys, np.uint32))
-    if doc:
-        d, p, k = np.concatenate(doc), np.concatenate(pos), np.concatenate(key)
-        order, many = _several(k, d)
-        # a mark stands for two documents that had the key together
-        group = np.cumsum(np.concatenate([[True], k[order][1:] != k[order][:-1]])) - 1
-        marked = np.bincount(group, d[order] == -(2**62))[group] > 0
-        good = order[(many | marked) & (d[order] != -(2**62))]
-        out.append((d[good], p[good]))
-    d, p = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+            out.append((doc, pos))
+        else:
+            held.append((doc, pos, x["left"], x["right"]))
+            marks[0].append(x["left_marks"])
+            marks[1].append(x["right_marks"])
+    if held:
+        doc, pos, *sides = (np.concatenate(x) for x in zip(*held, strict=True))
+        good = np.zeros(len(doc), dtype=bool)
+        for side, own in zip(sides, marks, strict=True):
+            mark = np.unique(np.concatenate(own))  # stands for a document that isn't here
+            owner = np.concatenate([doc, np.full(len(mark), -(2**62), np.int64)])
+            good |= _shared(np.concatenate([side, mark]), owner)[: len(doc)]
+        out.append((doc[good], pos[good]))
+    d, p = (np.concatenate(x) for x in zip(*out, strict=True))
     by = np.lexsort((p, d))
     d, p = d[by], p[by]
     ids, first = np.unique(d, return_index=True)
@@ -205,14 +237,14 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, tuple[int, tuple]] = {}
         rows = []
         texts = [t.encode() for t in pdf["text"]]
-        keep = [np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in x])) for x in pdf["pos"]]
+        keep = np.concatenate([(np.int64(i) << 32) + np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in x])) for i, x in enumerate(pdf["pos"])])
         ids = pdf["doc_id"].tolist()
         for r in anchors(texts):
-            for i in np.unique(r.doc):
-                own = np.flatnonzero(r.doc == i)
-                own = own[np.isin(r.anchor[own], keep[i])]
-                raw, doc_id = texts[i], ids[i]
-                for p, a, z in zip(r.anchor[own].tolist(), r.first[own].tolist(), r.last[own].tolist(), strict=True):
+            place = (r.doc.astype(np.int64) << 32) + r.anchor
+            own = np.flatnonzero(keep[np.minimum(np.searchsorted(keep, place), len(keep) - 1)] == place)
+            if len(own):
+                for i, p, a, z in zip(*(x[own].tolist() for x in (r.doc, r.anchor, r.first, r.last)), strict=True):
+                    raw, doc_id = texts[i], ids[i]
                     run = raw[a : z + LENGTH]
                     lead = int.from_bytes(raw[p : p + 8], "big") - (1 << 63)
                     row = (lead, doc_id, a, p - a, run, False)
@@ -334,7 +366,7 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     each other's reason; a row without an id is neither searched nor cut; an empty table gives an empty one; other
     columns are ignored. keep_text adds `kept`, the remaining bytes, null where nothing was removed.
 
-    Copies of a whole text, after the first, go at once. What moves: 10 bytes for each anchor, the texts once, the
+    Copies of a whole text, after the first, go at once. What moves: about 12 bytes for each anchor, the texts once, the
     runs at anchors of two documents or more, and those texts that lose something.
     """
     spark = common.prepare(docs.sparkSession)
