@@ -1,15 +1,462 @@
-"""Names of the engine's queries, each with its DuckDB oracle."""
+"""The engine's queries over the canonical relations, each with its DuckDB oracle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strataq.functions import expressions as X
+from strataq.operators import chunk, expand, explore, parse, resolve, retrieve, sync
+from strataq.sources import adapter, scan
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str, **extra: str) -> Callable[[Callable], Callable]:
+    """Register a function of a loader of relations, under its own name, with its oracle."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: adapter.relation(spark, sf_dir, name))
+        ORACLES[f.__name__] = adapter.statement(oracle, "duckdb", extra=extra)
+        return f
+
+    return register
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _listed(rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+@query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def node_counts(t):
+    return explore.node_counts(t("nodes"))
+
+
+@query("SELECT k.type, count(src) AS n FROM (VALUES ('contains'), ('inherits'), ('imports'), ('calls')) k(type) LEFT JOIN edges e ON e.type = k.type GROUP BY k.type")
+def edge_counts(t):
+    return explore.edge_counts(t("edges"))
+
+
+@query("""SELECT m.node_id AS module_id, (SELECT count(*) FROM nodes x WHERE x.relative_path = m.node_id AND x.kind = 'class') AS classes,
+    (SELECT count(*) FROM nodes x WHERE x.relative_path = m.node_id AND x.kind = 'function') AS functions,
+    (SELECT count(*) FROM edges e WHERE e.type = 'imports' AND e.src = m.node_id) AS imports_out,
+    (SELECT count(*) FROM edges e WHERE e.type = 'imports' AND e.dst = m.node_id) AS imports_in FROM nodes m WHERE m.kind = 'module'""")
+def module_stats(t):
+    return explore.module_stats(t("nodes"), t("edges"))
+
+
+@query("SELECT dst, count(*) AS n FROM edges WHERE type = 'imports' GROUP BY dst ORDER BY n DESC, dst LIMIT 5")
+def top_imported(t):
+    return explore.top_imported(t("edges"))
+
+
+@query("""SELECT CASE WHEN n.is_method THEN p.name || '.' || n.name ELSE n.name END AS symbol, CASE WHEN n.kind = 'class' THEN 'Class' WHEN n.is_method THEN 'Method' ELSE 'Function' END AS kind,
+    n.relative_path AS module, n.start_line, n.end_line FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id WHERE n.kind <> 'module'""")
+def symbols_listing(t):
+    return explore.symbols_listing(t("nodes"))
+
+
+@query("""SELECT m.node_id AS module_id, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM edges WHERE type = 'imports' AND src = m.node_id), '') AS imports,
+    coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM edges WHERE type = 'imports' AND dst = m.node_id), '') AS imported_by FROM nodes m WHERE m.kind = 'module'""")
+def dependencies(t):
+    return explore.dependencies(t("nodes"), t("edges"))
+
+
+@query("""SELECT node_id, direction, type, count(*) AS n, min(other) AS first_other, max(other) AS last_other FROM (
+    SELECT src AS node_id, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges) GROUP BY ALL""")
+def graph_inspect(t):
+    return explore.graph_inspect(t("edges"))
+
+
+@query("SELECT relative_path, count(*) AS n FROM nodes WHERE kind <> 'module' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
+def largest_modules(t):
+    return explore.largest_modules(t("nodes"))
+
+
+@query("SELECT c.node_id, count(m.node_id) AS n FROM nodes c LEFT JOIN nodes m ON m.parent_id = c.node_id AND m.is_method WHERE c.kind = 'class' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
+def largest_classes(t):
+    return explore.largest_classes(t("nodes"))
+
+
+LINES = r"regexp_replace(regexp_replace(text, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', '')"
+LOC = f"CASE WHEN text = '' THEN 0 ELSE len(string_split({LINES}, chr(10))) END"
+
+
+@query(f"""SELECT *, round(coalesce(CAST(loc AS DOUBLE) / nullif(files, 0), 0), 1) AS loc_per_file, round(coalesce(CAST(methods AS DOUBLE) / nullif(classes, 0), 0), 1) AS methods_per_class,
+    round(coalesce(CAST(functions AS DOUBLE) / nullif(modules, 0), 0), 1) AS functions_per_module FROM
+    (SELECT count(*) AS files, count_if(language = 'python') AS python_files, count_if(language = 'markdown') AS markdown_files,
+      count_if(coalesce(language NOT IN ('python', 'markdown'), true)) AS other_files FROM files_now),
+    (SELECT count_if(kind = 'module') AS modules, count_if(kind = 'class') AS classes, count_if(is_method) AS methods, count_if(kind = 'function' AND NOT is_method) AS functions FROM nodes),
+    (SELECT CAST(sum({LOC}) AS BIGINT) AS loc FROM documents)""")
+def repo_stats(t):
+    return explore.repo_stats(t("nodes"), t("files_now"), t("documents"))
+
+
+@query("SELECT language, count(*) AS n, min(relative_path) AS first_path FROM files_now WHERE language IS NOT NULL GROUP BY 1")
+def language_breakdown(t):
+    return explore.language_breakdown(t("files_now"))
+
+
+CHANGES = """SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.relative_path, b.relative_path) AS relative_path, CASE WHEN b.content_hash IS NULL THEN 'added'
+    WHEN a.content_hash IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'updated' ELSE 'unchanged' END AS change
+    FROM files_now a FULL JOIN files_prev b ON a.repo_id = b.repo_id AND a.relative_path = b.relative_path"""
+
+
+def _changes(t):
+    return sync.changes(t("files_now"), t("files_prev"))
+
+
+@query(CHANGES)
+def sync_changes(t):
+    return _changes(t)
+
+
+@query("SELECT repo_id, count_if(change = 'added') AS added, count_if(change = 'updated') AS updated, count_if(change = 'removed') AS removed, count_if(change = 'unchanged') AS unchanged, count_if(change <> 'removed') AS total_files FROM changes GROUP BY 1", changes=CHANGES)
+def sync_summary(t):
+    return sync.summary(_changes(t))
+
+
+@query("SELECT repo_id, bool_or(change <> 'unchanged') AS changed FROM changes GROUP BY 1", changes=CHANGES)
+def repo_changed(t):
+    return sync.repo_changed(_changes(t))
+
+
+@query("SELECT f.repo_id, f.relative_path, f.doc_id FROM files_now f JOIN changes c ON c.repo_id = f.repo_id AND c.relative_path = f.relative_path AND c.change IN ('added', 'updated')", changes=CHANGES)
+def changed_chunks(t):
+    return sync.changed_chunks(t("files_now"), _changes(t)).select("repo_id", "relative_path", "doc_id")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(t):
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+POINT = f"""SELECT vec_id, repo_id, chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ('89ab'[(strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1]) || h[18:20], h[21:32]) AS point_id
+    FROM (SELECT *, sha1(unhex('{X.POINT_NAMESPACE}') || encode(CAST(repo_id AS VARCHAR) || ':' || chunk_id)) AS h FROM points)"""
+
+
+@query(POINT)
+def point_id(t):
+    return sync.with_point_ids(t("points"))
+
+
+@query("SELECT point_id FROM pts WHERE vec_id % 7 = 0", pts=POINT)
+def stale_points(t):
+    pts = sync.with_point_ids(t("points"))
+    return sync.stale_points(pts, pts.where("vec_id % 7 <> 0"))
+
+
+KEYS = {
+    "rooted": "SELECT path, '' AS root, path AS rel FROM paths WHERE path LIKE '%.py' UNION ALL SELECT path, 'src', substring(path, 5) FROM paths WHERE path LIKE 'src/%.py'",
+    "inits": "SELECT root, left(rel, length(rel) - 12) AS package FROM rooted WHERE rel LIKE '%/__init__.py'",
+    "keyed": """SELECT root, path, left(rel, length(rel) - 3) AS key, 0 AS pref FROM rooted UNION ALL SELECT root, path, left(rel, length(rel) - 12), 1 FROM rooted WHERE rel LIKE '%/__init__.py'""",
+    "best": "SELECT root, key, arg_min(path, pref) AS path FROM keyed GROUP BY 1, 2",
+    "above": "SELECT root, key, array_to_string(p[1:i], '/') AS package FROM (SELECT root, key, p, unnest(range(1, len(p))) AS i FROM (SELECT root, key, string_split(key, '/') AS p FROM best))",
+    "broken": "SELECT DISTINCT root, key FROM above ANTI JOIN inits USING (root, package)",
+    "keys_": "SELECT * FROM best ANTI JOIN broken USING (root, key)",
+}
+TARGETS = KEYS | {
+    "wanted": """SELECT *, CASE WHEN level = 0 THEN replace(module, '.', '/') ELSE array_to_string(list_concat(d[1:len(d) - level], string_split(module, '.')), '/') END AS key
+        FROM (SELECT *, string_split(source_path, '/') AS d FROM imports_in)""",
+    "found": """SELECT w.source_path, w.module, w.level, CASE WHEN level = 0 THEN (SELECT CASE WHEN count(DISTINCT path) = 1 THEN min(path) END FROM keys_ k WHERE k.key = w.key)
+        ELSE (SELECT min(path) FROM keys_ k WHERE k.key = w.key AND k.root = '') END AS target FROM wanted w""",
+}
+
+
+@query("SELECT * FROM found", **TARGETS)
+def resolve_imports(t):
+    return resolve.import_targets(t("imports_in"), resolve.module_keys(t("paths")))
+
+
+@query("SELECT DISTINCT source_path AS src, target AS dst FROM found WHERE target IS NOT NULL AND target <> source_path", **TARGETS)
+def import_edges(t):
+    return resolve.import_edges(t("imports_in"), resolve.module_keys(t("paths")))
+
+
+# Functions f0..f2 in every module, of which f2 is a method of C; calls: f0 → f1 (bare), f0 → f1 of the import's module
+# (only by name g), f2 → self.f2, and an attribute call through the import's dotted text.
+CALLS = TARGETS | {
+    "fns": """SELECT path || '::f' || CAST(k AS VARCHAR) AS function_id, path AS relative_path, 'f' || CAST(k AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS parent_id, false AS is_method FROM paths, range(0, 2) r(k)
+        UNION ALL SELECT path || '::C.f2', path, 'f2', path || '::C', true FROM paths UNION ALL SELECT path || '::g', path, 'g', NULL, false FROM paths WHERE path LIKE '%e%'""",
+    "bound": "SELECT source_path, module, level, row_number() OVER (PARTITION BY source_path ORDER BY module, level) AS pos FROM imports_in",
+    "first_": "SELECT f.source_path, f.target FROM bound b JOIN found f ON b.source_path = f.source_path AND b.module = f.module AND b.level = f.level WHERE b.pos = 1",
+    "bare_": "SELECT relative_path || '::f0' AS src, 'f1' AS name, relative_path FROM fns WHERE name = 'f0' UNION ALL SELECT relative_path || '::f0', 'g', relative_path FROM fns WHERE name = 'f0'",
+    "near_": "SELECT b.src, f.function_id AS dst, b.relative_path, b.name FROM bare_ b LEFT JOIN fns f ON f.relative_path = b.relative_path AND f.name = b.name AND f.parent_id IS NULL",
+    "any_": "SELECT module, min(target) AS target FROM found WHERE level = 0 GROUP BY 1",
+}
+
+
+@query(
+    """SELECT DISTINCT * FROM (SELECT n.src, coalesce(n.dst, g.function_id) AS dst FROM near_ n LEFT JOIN first_ x ON x.source_path = n.relative_path
+        LEFT JOIN fns g ON g.relative_path = x.target AND g.name = n.name AND g.parent_id IS NULL
+    UNION ALL SELECT function_id, function_id FROM fns WHERE is_method
+    UNION ALL SELECT i.source_path || '::f0', f.function_id FROM imports_in i JOIN any_ a ON a.module = i.module JOIN fns f ON f.relative_path = a.target AND f.name = 'f1'
+      WHERE i.level = 0 AND i.source_path IN (SELECT path FROM paths)) WHERE dst IS NOT NULL""",
+    **CALLS,
+)
+def resolve_calls(t):
+    paths, imports = t("paths"), t("imports_in")
+    made = lambda name, method=False, parent=None: paths.select(F.concat("path", F.lit(f"::{parent + '.' if parent else ''}{name}")).alias("function_id"), F.col("path").alias("relative_path"), F.lit(name).alias("name"), (F.concat("path", F.lit(f"::{parent}")) if parent else F.lit(None).cast("string")).alias("parent_id"), F.lit(method).alias("is_method"))
+    fns = made("f0").union(made("f1")).union(made("f2", True, "C")).union(made("g").where(F.col("relative_path").contains("e")))
+    null = F.lit(None).cast("string")
+    site = lambda caller, callee, receiver: fns.where(F.col("name") == caller).select(F.col("function_id").alias("caller_id"), F.lit(callee).alias("callee_name"), receiver.alias("receiver"))
+    attr = imports.where("level = 0").select(F.concat("source_path", F.lit("::f0")).alias("caller_id"), F.lit("f1").alias("callee_name"), F.col("module").alias("receiver"))
+    sites = site("f0", "f1", null).union(site("f0", "g", null)).union(site("f2", "f2", F.lit("self"))).union(attr)
+    pos = F.expr("row_number() OVER (PARTITION BY source_path ORDER BY module, level)")
+    bound = imports.select("source_path", "module", "level", pos.alias("pos"), F.array(F.lit("g")).alias("names"))
+    return resolve.call_edges(fns, sites, bound, resolve.module_keys(paths))
+
+
+@query("SELECT src AS class_id, min(dst) AS base_id FROM edges WHERE type = 'inherits' GROUP BY 1")
+def inherits_first_base(t):
+    return resolve.first_base(t("edges"))
+
+
+def _bfs_sql(a: str, b: str) -> dict[str, str]:
+    return {
+        "one": f"SELECT DISTINCT {a} AS start, {b} AS node_id FROM edges WHERE type = 'calls'",
+        "two": "SELECT DISTINCT x.start, y.node_id FROM one x JOIN one y ON y.start = x.node_id",
+        "near": "SELECT start, node_id, CAST(min(hop) AS INT) AS hop FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two) WHERE node_id <> start GROUP BY 1, 2",
+        "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY start ORDER BY hop, node_id) AS INT) AS rank FROM near",
+    }
+
+
+def _functions(t):
+    return t("nodes").where("kind = 'function'").select(F.col("node_id").alias("start"))
+
+
+@query("SELECT * FROM ranked WHERE rank <= 10", **_bfs_sql("src", "dst"))
+def bfs_calls(t):
+    return expand.bfs_calls(t("edges"), _functions(t))
+
+
+@query("SELECT * FROM ranked WHERE rank <= 10", **_bfs_sql("dst", "src"))
+def bfs_called_by(t):
+    return expand.bfs_calls(t("edges"), _functions(t), reverse=True)
+
+
+#: Methods whose name ends in 7 stand for the hits of a search.
+def _hits(t):
+    return t("nodes").where("kind = 'function' AND is_method AND name LIKE '%7'").select(F.col("node_id").alias("start"))
+
+
+SIBLINGS = "SELECT a.node_id AS start, string_agg(b.name, ',' ORDER BY b.start_line, b.node_id) AS siblings FROM owned a JOIN owned b ON a.owner = b.owner AND a.node_id <> b.node_id WHERE a.is_method AND a.name LIKE '%7' GROUP BY 1"
+OWNED = "SELECT node_id, name, start_line, is_method, coalesce(parent_id, relative_path) AS owner FROM nodes WHERE kind = 'function'"
+
+
+@query("SELECT * FROM sib", owned=OWNED, sib=SIBLINGS)
+def siblings(t):
+    return expand.siblings(t("nodes"), _hits(t)).select("start", F.array_join("siblings", ",").alias("siblings"))
+
+
+_fwd, _rev = ({f"{p}_{k}": v.replace("FROM one", f"FROM {p}_one").replace("JOIN one", f"JOIN {p}_one").replace("FROM two", f"FROM {p}_two").replace("FROM near", f"FROM {p}_near") for k, v in _bfs_sql(*ab).items()} for p, ab in (("fw", ("src", "dst")), ("bw", ("dst", "src"))))
+_EXPAND = """SELECT n.node_id AS start, p.name AS parent, b.name AS base_class, s.siblings,
+    (SELECT string_agg(m.name, ',' ORDER BY r.rank) FROM fw_ranked r JOIN nodes m ON m.node_id = r.node_id WHERE r.start = n.node_id AND r.rank <= 10) AS calls,
+    (SELECT string_agg(m.name, ',' ORDER BY r.rank) FROM bw_ranked r JOIN nodes m ON m.node_id = r.node_id WHERE r.start = n.node_id AND r.rank <= 10) AS called_by
+    FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id LEFT JOIN (SELECT src, min(dst) AS dst FROM edges WHERE type = 'inherits' GROUP BY 1) i ON i.src = n.parent_id
+    LEFT JOIN nodes b ON b.node_id = i.dst LEFT JOIN sib s ON s.start = n.node_id WHERE n.is_method AND n.name LIKE '%7'"""
+
+
+@query(_EXPAND, owned=OWNED, sib=SIBLINGS, **_fwd, **_rev)
+def expand_hits(t):
+    return expand.expand(t("nodes"), t("edges"), _hits(t))
+
+
+_TOPK = """SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+    FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 {})) WHERE rank <= 5"""
+
+
+def _vectors(t):
+    v = t("embeddings").select("vec_id", F.col("label").alias("repo_id"), "embedding")
+    return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "repo_id", F.col("embedding").alias("query_embedding"))
+
+
+@query(_TOPK.format(""))
+def vector_topk(t):
+    return retrieve.vector_topk(*_vectors(t))
+
+
+@query(_TOPK.format("AND q.label = v.label"))
+def vector_topk_per_repo(t):
+    return retrieve.vector_topk(*_vectors(t), same_repo=True)
+
+
+QUESTIONS = [(0, "where is f12 defined?"), (1, "How does Red Small_7 work"), (2, "  "), (3, "blue"), (4, "show implementation of S3.x"), (5, "zzzz qqqq")]
+_MATCH = """SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(place, 0), node_id) AS INT) AS rank FROM (
+    SELECT query_id, node_id, low, q, list_min([strpos(low, w) - 1 FOR w IN words IF contains(low, w)]) AS place, words
+    FROM (SELECT node_id, lower(name) AS low FROM nodes WHERE kind = 'function'), (SELECT query_id, lower(trim(query)) AS q, string_split_regex(lower(trim(query)), '\\s+') AS words FROM questions WHERE trim(query) <> ''))
+    WHERE place IS NOT NULL OR contains(q, low)"""
+_QUESTIONS = f"SELECT * FROM (VALUES {_listed(QUESTIONS)}) v(query_id, query)"
+
+
+def _questions(t):
+    return _values(t("region").sparkSession, QUESTIONS, "query_id int, query string")
+
+
+@query("SELECT * FROM matched", questions=_QUESTIONS, matched=_MATCH)
+def lexical_match(t):
+    return retrieve.lexical_match(t("nodes"), _questions(t))
+
+
+_LISTS = {
+    "vec": f"SELECT CAST(query_id // 20 AS INT) AS query_id, 'v' || CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_TOPK.format('')}) WHERE query_id < 100",
+    "both": "SELECT *, 0 AS src FROM vec UNION ALL SELECT query_id, node_id, rank, 1 FROM matched WHERE rank <= 5",
+    "single": "SELECT query_id, chunk_id, min(rank * 2 + src) AS place FROM both GROUP BY 1, 2",
+}
+
+
+@query("SELECT query_id, chunk_id, CASE WHEN place % 2 = 0 THEN 'vector' ELSE 'name' END AS origin, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM single) WHERE rank <= 5", questions=_QUESTIONS, matched=_MATCH, **{k.replace("both", "lists"): v.replace("FROM both", "FROM lists") for k, v in _LISTS.items()})
+def hybrid_search(t):
+    """Queries 0 to 4: the vectors 0, 20, .. 80 beside the questions with those numbers."""
+    v, q = _vectors(t)
+    by_vector = retrieve.vector_topk(v, q.where("query_id < 100")).select((F.col("query_id") / 20).cast("int").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "rank")
+    by_name = retrieve.lexical_match(t("nodes"), _questions(t)).select("query_id", F.col("node_id").alias("chunk_id"), "rank")
+    return retrieve.hybrid(by_vector, by_name)
+
+
+@query("""SELECT s.symbol, n.node_id FROM (SELECT name AS symbol, NULL AS owner, name FROM nodes WHERE kind <> 'module' GROUP BY 1, 3
+    UNION ALL SELECT p.name || '.' || m.name, p.name, m.name FROM nodes m JOIN nodes p ON p.node_id = m.parent_id GROUP BY 1, 2, 3) s
+    JOIN nodes n ON n.name = s.name AND n.kind <> 'module' LEFT JOIN nodes p ON p.node_id = n.parent_id WHERE s.owner IS NULL OR (n.is_method AND p.name = s.owner)""")
+def symbol_lookup(t):
+    """Every bare and every qualified name of the graph, looked up."""
+    listed = explore.symbols_listing(t("nodes")).select("symbol")
+    return retrieve.symbol_lookup(t("nodes"), t("nodes").where("kind <> 'module'").select(F.col("name").alias("symbol")).union(listed).distinct())
+
+
+_ROUTES = [("Where is Foo.Bar defined?", "definition", "Foo.Bar"), ("where is x", "definition", "x"), ("show me the implementation of A.b ?", "implementation", "A.b"), ("SHOW IMPLEMENTATION OF Q", "implementation", "Q"), ("where is defined?", None, None), ("what is this", None, None)]
+
+
+@query(f"SELECT * FROM (VALUES {_listed(_ROUTES)}) v(query, nav_type, symbol)")
+def route_queries(t):
+    q = _values(t("region").sparkSession, [(r[0],) for r in _ROUTES], "query string")
+    return q.select("query", retrieve.route(F.col("query")).alias("r")).select("query", "r.nav_type", "r.symbol")
+
+
+@query(f"SELECT doc_id, array_to_string(string_split({LINES}, chr(10))[2:3], chr(10)) AS part FROM documents")
+def line_slice(t):
+    return t("documents").select("doc_id", X.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("part"))
+
+
+@query(f"SELECT doc_id, CAST({LOC} AS INT) AS loc FROM documents")
+def loc(t):
+    return t("documents").select("doc_id", F.size(X.lines(F.col("text"))).alias("loc"))
+
+
+_SOURCE = "SELECT module_id, s_suppkey, 'S' || CAST(s_suppkey AS VARCHAR) AS k, row_number() OVER (PARTITION BY module_id ORDER BY s_suppkey) AS i FROM cls"
+
+
+def _source(t) -> DataFrame:
+    """Python text of every module that has classes."""
+    k = F.col("s_suppkey").cast("string")
+    one = F.struct("s_suppkey", F.concat(F.lit("class S"), k, F.lit(":\n    def m"), k, F.lit("(self):\n        helper()\n")).alias("x"))
+    body = t("cls").groupBy("module_id").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    text = F.concat(F.lit("from .nation_0 import helper\n"), F.array_join(F.transform("l", lambda s: s["x"]), ""))
+    return body.select(F.col("module_id").alias("relative_path"), text.alias("text"))
+
+
+def _modules(t) -> DataFrame:
+    return parse.parse(_source(t).select("relative_path", F.encode("text", "UTF-8").alias("content")))
+
+
+@query("""SELECT module_id || '::' || k AS id, k AS name, 'class' AS kind, CAST(3 * i - 1 AS INT) AS start_line, CAST(3 * i + 1 AS INT) AS end_line FROM src_
+    UNION ALL SELECT module_id || '::' || k || '.m' || k[2:], 'm' || k[2:], 'method', CAST(3 * i AS INT), CAST(3 * i + 1 AS INT) FROM src_""", src_=_SOURCE)
+def parse_symbols(t):
+    m = _modules(t)
+    c = parse.classes(m).select(F.col("class_id").alias("id"), "name", F.lit("class").alias("kind"), "start_line", "end_line")
+    return c.union(parse.functions(m).select("function_id", "name", F.when(F.col("is_method"), "method").otherwise("function"), "start_line", "end_line"))
+
+
+@query("SELECT module_id || '::' || k || '.m' || k[2:] AS caller_id, 'helper' AS callee_name, CAST(NULL AS VARCHAR) AS receiver, CAST(3 * i + 1 AS INT) AS line FROM src_", src_=_SOURCE)
+def parse_calls(t):
+    return parse.call_sites(_modules(t)).drop("pos")
+
+
+@query("SELECT DISTINCT module_id AS source_path, 'nation_0' AS module, 1 AS level, 'helper' AS names, 1 AS line FROM src_", src_=_SOURCE)
+def parse_imports(t):
+    return parse.imports(_modules(t)).select("source_path", "module", "level", F.array_join("names", ",").alias("names"), "line")
+
+
+@query("""SELECT module_id || '::' || k || '.m' || k[2:] AS chunk_id, 'Method ' || k || '.m' || k[2:] || chr(10) || 'Module ' || module_id || chr(10) || '    def m' || k[2:] || '(self):' || chr(10) || '        helper()' AS content FROM src_""", src_=_SOURCE)
+def chunk_text(t):
+    from strataq.operators import graph
+
+    return chunk.chunks(graph.nodes(_modules(t)), _source(t)).select("chunk_id", "content")
+
+
+@query("SELECT conv_id, turn, CAST(back AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns) WHERE back <= 4")
+def chat_history_window(t):
+    return explore.last_turns(t("turns")).select("conv_id", "turn", "back")
+
+
+_HISTORY = "SELECT conv_id, string_agg('User:' || chr(10) || question || chr(10) || chr(10) || 'Assistant:' || chr(10) || answer, chr(10) || chr(10) ORDER BY turn) AS h FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns) WHERE back <= 4 GROUP BY 1"
+
+
+@query(f"""SELECT p.node_id AS query_id, concat_ws(chr(10) || chr(10), '{chunk.INSTRUCTIONS}', '=== Conversation History ===' || chr(10) || chr(10) || h, 'User question:' || chr(10) || 'about ' || p.name,
+    '=== Retrieved Symbol 1 ===', 'Source: ' || p.relative_path || ':' || p.start_line || '-' || p.end_line, 'body', 'Parent class:' || chr(10) || c.name) AS prompt
+    FROM nodes p JOIN nodes c ON c.node_id = p.parent_id LEFT JOIN hist ON conv_id = p.start_line WHERE p.is_method""", hist=_HISTORY)
+def prompt_text(t):
+    """A prompt for every method, with the history of the conversation whose number is its first line."""
+    past = chunk.history_block(explore.last_turns(t("turns")))
+    parents = t("nodes").where("kind = 'class'").select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
+    none = F.lit(None).cast("string")
+    m = t("nodes").where("is_method").join(parents, "parent_id")
+    hits = m.select(F.col("node_id").alias("query_id"), F.lit(1).alias("rank"), "relative_path", "start_line", "end_line", F.lit("body").alias("content"), "parent", *[none.alias(c) for c in ("base_class", "siblings", "calls", "called_by")])
+    asked = m.join(past, F.col("conv_id") == F.col("start_line"), "left").select(F.col("node_id").alias("query_id"), F.concat(F.lit("about "), "name").alias("query"), none.alias("overview"), "history")
+    return chunk.prompts(asked, chunk.symbol_block(hits))
+
+
+@query("""SELECT concat_ws(chr(10), 'Repository: demo', 'Languages: ' || (SELECT string_agg(DISTINCT language, ', ' ORDER BY language) FROM files_now), 'Python modules: ' || (SELECT count(*) FROM files_now WHERE language = 'python'),
+    'Top-level packages/directories: ' || (SELECT string_agg(DISTINCT split_part(relative_path, '/', 1), ', ' ORDER BY split_part(relative_path, '/', 1)) FROM files_now WHERE language = 'python'),
+    'Classes: ' || (SELECT count(*) FROM nodes WHERE kind = 'class') || ', Functions/Methods: ' || (SELECT count(*) FROM nodes WHERE kind = 'function')) AS summary""")
+def repo_summary(t):
+    return explore.repo_summary(t("nodes"), t("files_now"), "demo")
+
+
+_SETTINGS = [("api_key", "abcdefgh", "****efgh"), ("token", "abc", "***"), ("url", "http://x", "http://x"), ("Password", None, "not set"), ("path", None, "not set"), ("db_secret", "abcd", "****")]
+
+
+@query(f"SELECT * FROM (VALUES {_listed(_SETTINGS)}) v(name, value, shown)")
+def mask_config(t):
+    rows = _values(t("region").sparkSession, [r[:2] for r in _SETTINGS], "name string, value string")
+    return rows.withColumn("shown", X.display(F.col("name"), F.col("value")))
+
+
+_STATES = [(1, True, True, "failed"), (0, False, True, "not indexed"), (0, True, True, "stale"), (0, True, False, "healthy")]
+
+
+@query(f"SELECT * FROM (VALUES {_listed(_STATES)}) v(failures, indexed, stale, status)")
+def health(t):
+    return explore.health(_values(t("region").sparkSession, [r[:3] for r in _STATES], "failures int, indexed boolean, stale boolean"))
+
+
+@query("SELECT doc_id, CASE WHEN relative_path LIKE '%.py' THEN 'python' WHEN relative_path LIKE '%.md' THEN 'markdown' WHEN relative_path LIKE '%.json' THEN 'json' END AS language FROM files_now")
+def detect_language(t):
+    return t("files_now").select("doc_id", scan.language(F.element_at(F.split("relative_path", "/"), -1)).alias("language"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS shown FROM conversations")
+def answer_preview(t):
+    return t("conversations").select("conv_id", "turn", X.preview(F.col("text")).alias("shown"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS shown FROM orders")
+def format_timestamp(t):
+    return t("orders").select("o_orderkey", X.minute(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("shown"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
