@@ -177,31 +177,28 @@ def _propose(buckets: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        ids, parts, size, turn = [], [], 0, TaskContext.get().partitionId()
+        parts, size, turn = {}, 0, TaskContext.get().partitionId()
         for pdf in batches:
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                raw = t.encode()
-                if len(raw) < LENGTH:
-                    continue
-                ids.append(int(doc_id))
-                parts.append((len(ids) - 1, raw))
+            for content, t in zip(pdf["content"].tolist(), pdf["text"], strict=True):
+                if len(t) * 4 < LENGTH or content in parts or len(raw := t.encode()) < LENGTH:
+                    continue  # of copies of a whole text one is enough
+                parts[content] = raw
                 size += len(raw)
-                if size >= FLUSH or len(ids) >= 60_000:
-                    yield from flush(ids, _all_runs(parts), turn)
-                    ids, parts, size, turn = [], [], 0, turn + 1
+                if size >= FLUSH or len(parts) >= 60_000:
+                    yield from flush(list(parts), _all_runs(parts.values()), turn)
+                    parts, size, turn = {}, 0, turn + 1
         if parts:
-            yield from flush(ids, _all_runs(parts), turn)
+            yield from flush(list(parts), _all_runs(parts.values()), turn)
 
     return scan
 
 
-def _all_runs(parts: list[tuple[int, bytes]]) -> list[Runs]:
-    number = np.array([i for i, _ in parts])
-    return [r._replace(doc=number[r.doc]) for r in anchors([b for _, b in parts])]
+def _all_runs(texts) -> list[Runs]:
+    return list(anchors(list(texts)))
 
 
 def _repeating(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: (doc_id, places) of the anchors of which a fingerprint is in two documents or more."""
+    """One bucket: (content, places) of the anchors of which a fingerprint is in two different texts or more."""
     of = {"docs": np.int64, "idx": np.uint16, "low": np.uint16, "high": np.uint16}
     out, held, marks = [], [], ([], [])
     for r in pdf.itertuples():
@@ -225,10 +222,10 @@ def _repeating(pdf: pd.DataFrame) -> pd.DataFrame:
     by = np.lexsort((p, d))
     d, p = d[by], p[by]
     ids, first = np.unique(d, return_index=True)
-    return pd.DataFrame({"doc_id": ids, "pos": [x.astype(np.uint32).tobytes() for x in np.split(p, first[1:])] if len(ids) else []})
+    return pd.DataFrame({"content": ids, "pos": [x.astype(np.uint32).tobytes() for x in np.split(p, first[1:])] if len(ids) else []})
 
 
-RUNS = "lead long, doc_id long, first long, before int, bytes binary, sure boolean"
+RUNS = "lead long, doc_id long, first long, before int, strings int, bytes binary, sure boolean"
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +244,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     raw, doc_id = texts[i], ids[i]
                     run = raw[a : z + LENGTH]
                     lead = int.from_bytes(raw[p : p + 8], "big") - (1 << 63)
-                    row = (lead, doc_id, a, p - a, run, False)
+                    row = (lead, doc_id, a, p - a, z - a + 1, run, False)
                     old = held.get(run)
                     if old is None:
                         held[run] = (doc_id, row)
@@ -255,7 +252,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         rows.append(row)
                     else:
                         lose, win = (old, (doc_id, row)) if doc_id < old[0] else ((doc_id, row), old)
-                        rows.append((*lose[1][:5], True))
+                        rows.append((*lose[1][:5], b"", True))
                         held[run] = win
         rows += [x for _, x in held.values()]
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in RUNS.split(", ")])
@@ -373,23 +370,24 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     texts = common.whole_texts(docs)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = texts.where("doc_id is not null")
-    keyed = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    first = keyed.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"))
+    content = F.xxhash64("text").alias("content")  # which places to look at; what is removed never depends on it
+    keyed = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), content)
+    first = keyed.where("doc_id is not null").groupBy("sha", "content").agg(F.min("doc_id").alias("rep"))
 
-    proposed = known.mapInPandas(_propose(buckets), PROPOSED)
-    found = proposed.groupBy("bucket").applyInPandas(_repeating, "doc_id long, pos binary")
-    places = found.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")).join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    proposed = known.select(content, "text").mapInPandas(_propose(buckets), PROPOSED)
+    found = proposed.groupBy("bucket").applyInPandas(_repeating, "content long, pos binary")
+    places = found.groupBy("content").agg(F.collect_list("pos").alias("pos")).join(first, "content").select(F.col("rep").alias("doc_id"), "pos")
     suspects = common.settle(known.join(places.hint("shuffle_hash"), "doc_id"))
     runs = common.settle(suspects.mapInPandas(_emit, RUNS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.where("not sure").drop("sure").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    certain = runs.where("sure").select("doc_id", "first", F.expr(f"shiftleft(1L, length(bytes) - {LENGTH - 1}) - 1").alias("mask"))
+    dealt = runs.where("not sure").drop("sure", "strings").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    certain = runs.where("sure").select("doc_id", "first", F.expr("shiftleft(1L, strings) - 1").alias("mask"))
     hits = dealt.mapInPandas(_compare, HITS).union(certain).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
     cut = suspects.select("doc_id", "text").join(hits, "doc_id").mapInPandas(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = (cut if keep_text else cut.drop("kept")).dropDuplicates(["doc_id"])
 
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
-    out = keyed.join(first, "sha", "left").join(cut, "doc_id", "left")
+    out = keyed.drop("content").join(first.select("sha", "rep"), "sha", "left").join(cut, "doc_id", "left")
     columns = [
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
