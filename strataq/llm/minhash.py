@@ -90,6 +90,45 @@ def _estimate(x: str, y: str, percent: int):
     return F.when(whole, exact).otherwise(both >= F.least(F.lit(BRIEF_SHARED), F.ceil(F.least(n_a, n_b) * percent / 100)))
 
 
+#: Lists up to this size are compared by a join, longer ones in blocks of about BLOCK documents on either side.
+SHORT_LIST, BLOCK = 64, 1000
+
+
+def _in_blocks(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one list that the estimate passes; a task holds two blocks of a list, whatever its length."""
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = lists.withColumn("nb", n_blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    dealt = dealt.select("value", "doc_id", "n", "c", "brief", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    keyed = dealt.select("value", "doc_id", "n", "c", "brief", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return keyed.groupBy("value", "i", "j").applyInPandas(lambda pdf: _block(pdf, percent), "a long, b long")
+
+
+def _block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    own = pdf["own"].to_numpy()
+    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    size = np.array([len(b) for b in pdf["brief"]])
+    _, column, seen = np.unique(np.concatenate(pdf["brief"].to_numpy()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(pdf)), size)
+    shared = seen[column] > 1
+    row, column = row[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+    both = np.ones((len(x), len(y)), np.float32)  # one more, as in _estimate
+    for at in range(0, int((seen > 1).sum()), 2048):
+        part = (column >= at) & (column < at + 2048)
+        held = np.zeros((len(pdf), 2048), np.float32)
+        held[row[part], column[part] - at] = 1
+        both += held[x] @ held[y].T
+    n, c, ids = (pdf[k].to_numpy(np.int64) for k in ("n", "c", "doc_id"))
+    low, high = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
+    exact = 100 * both >= percent * (low + high - both)
+    near = np.where(high <= BRIEF, exact, both >= np.minimum(BRIEF_SHARED, np.ceil(low * percent / 100)))
+    near &= (c[x][:, None] != c[y][None]) & (100 * low >= percent * high)
+    at_x, at_y = np.nonzero(near)
+    a, b = ids[x][at_x], ids[y][at_y]
+    out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return out[out["a"] < out["b"]].drop_duplicates()
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets confirm."""
     side = lambda t, x, c: t.select(F.col("doc_id").alias(x), F.col(c).alias(f"{c}_{x}"))
@@ -145,10 +184,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int =
     labelled = common.settle(
         listed.join(hub, "value").join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("value", "doc_id", "n", "hub", F.coalesce("component", "doc_id").alias("c"))
     )
-    mixed = labelled.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-    open_ = labelled.join(mixed, "value").where("doc_id <> hub").join(brief, "doc_id").select("value", "doc_id", "n", "c", "brief")
+    mixed = labelled.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("value", "size")
+    open_ = common.settle(labelled.join(mixed, "value").where("doc_id <> hub").join(brief, "doc_id").select("value", "doc_id", "n", "c", "brief", "size"))
+    few, many = (open_.where(f"size {op} {SHORT_LIST}") for op in ("<=", ">"))
     apart = (F.col("c_x") != F.col("c_y")) & (F.col("doc_id_x") < F.col("doc_id_y"))
-    rest = picked(side(open_, "x").join(side(open_, "y"), "value").where(apart & fits))
+    few = few.drop("size")
+    rest = picked(side(few, "x").join(side(few, "y"), "value").where(apart & fits)).union(_in_blocks(many, percent)).distinct()
     reached = connected(links.union(confirm(rest, sets, percent)))
 
     of_member = member.join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

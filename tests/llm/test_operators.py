@@ -174,7 +174,9 @@ def near(text, edits, rng):
     return " ".join(w)
 
 
-def test_minhash(spark, empty):
+@pytest.mark.parametrize("short", [64, 0])
+def test_minhash(spark, empty, monkeypatch, short):
+    monkeypatch.setattr(minhash, "SHORT_LIST", short)
     rng = random.Random(3)
     texts = list(EDGES)
     for size in (3, 4, 12, 60, 200):
