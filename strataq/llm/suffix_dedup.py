@@ -335,24 +335,31 @@ def _words(rows: np.ndarray) -> np.ndarray:
     return rows.view(">u8").astype(np.uint64)
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for t, hits in zip(pdf["text"], pdf["hits"], strict=True):
-            raw = t.encode()
-            edge = np.zeros(len(raw) + 1, np.int32)
-            for h in hits:
-                m, a = h["mask"], h["first"]
-                starts = a + np.flatnonzero((m >> np.arange(WINDOW)) & 1)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + LENGTH, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
-            left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left))
-        out = pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
-        out.insert(0, "doc_id", pdf["doc_id"].array)
-        yield out
+def _cut(keep_text: bool):
+    """What is left of each text: its marked strings are spread to bytes for all hits at once, a bounded number at a time."""
+    columns = ["n_removed", "n_spans", "kept_sha256", "kept"][: 3 + keep_text]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.arange(WINDOW)
+        for pdf in batches:
+            rows = []
+            for t, first, mask in zip(pdf["text"], pdf["first"], pdf["mask"], strict=True):
+                raw = t.encode()
+                edge = np.zeros(len(raw) + 1, np.int32)
+                for i in range(0, len(first), 1 << 16):
+                    hit, bit = np.nonzero((mask[i : i + (1 << 16), None] >> bits) & 1)
+                    starts = first[i + hit] + bit
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + LENGTH, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                rows.append((int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left)[: len(columns)])
+            out = pd.DataFrame(rows, columns=columns)
+            out.insert(0, "doc_id", pdf["doc_id"].array)
+            yield out
+
+    return cut
 
 
 def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -383,8 +390,9 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     dealt = runs.where("not sure").drop("sure", "strings").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
     certain = runs.where("sure").select("doc_id", "first", F.expr("shiftleft(1L, strings) - 1").alias("mask"))
     hits = dealt.mapInPandas(_compare, HITS).union(certain).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
-    cut = suspects.select("doc_id", "text").join(hits, "doc_id").mapInPandas(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cut = (cut if keep_text else cut.drop("kept")).dropDuplicates(["doc_id"])
+    schema = "doc_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    marked = suspects.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "text", "hits.first", "hits.mask")
+    cut = marked.mapInPandas(_cut(keep_text), schema).dropDuplicates(["doc_id"])
 
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
     out = keyed.drop("content").join(first.select("sha", "rep"), "sha", "left").join(cut, "doc_id", "left")
