@@ -197,8 +197,43 @@ def _all_runs(texts) -> list[Runs]:
     return list(anchors(list(texts)))
 
 
-def _repeating(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: (content, places) of the anchors of which a fingerprint is in two different texts or more."""
+PACKED = "part int, ids binary, counts binary, pos binary"
+
+
+def _repeating(parts: int):
+    """One bucket: the places of the anchors of which a fingerprint is in two different texts or more.
+
+    They are packed into a row for each part of the texts, so rows do not grow with documents times buckets.
+    """
+    return lambda pdf: _packed(*_repeats(pdf), parts)
+
+
+def _packed(content: np.ndarray, pos: np.ndarray, parts: int) -> pd.DataFrame:
+    """Content, count and places of each text, a row a part; a part is a range of contents."""
+    by = np.lexsort((pos, content))
+    content, pos = content[by], pos[by].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))[: len(content)]
+    ids, at = content[first], np.append(first, len(content))
+    own = (((ids >> 32) + (1 << 31)) * parts) >> 32
+    edges = np.searchsorted(own, np.arange(parts + 1))
+    counts = np.diff(at).astype(np.uint32)
+    rows = [(k, ids[a:z].tobytes(), counts[a:z].tobytes(), pos[at[a] : at[z]].tobytes()) for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < z]
+    return pd.DataFrame(rows, columns=["part", "ids", "counts", "pos"])
+
+
+def _unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One part of the texts: (content, all its places)."""
+    ids, counts, pos = (np.frombuffer(b"".join(pdf[x]), t) for x, t in (("ids", np.int64), ("counts", np.uint32), ("pos", np.uint32)))
+    content = np.repeat(ids, counts)
+    by = np.argsort(content, kind="stable")
+    content, pos = content[by], pos[by]
+    first = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))[: len(content)]
+    at = np.append(first, len(content)).tolist()
+    return pd.DataFrame({"content": content[first], "pos": [pos[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]})
+
+
+def _repeats(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(content, place) of the anchors in one bucket that repeat."""
     of = {"docs": np.int64, "idx": np.uint16, "low": np.uint16, "high": np.uint16}
     out, held, marks = [], [], ([], [])
     for r in pdf.itertuples():
@@ -218,11 +253,8 @@ def _repeating(pdf: pd.DataFrame) -> pd.DataFrame:
             owner = np.concatenate([doc, np.full(len(mark), -(2**62), np.int64)])
             good |= _shared(np.concatenate([side, mark]), owner)[: len(doc)]
         out.append((doc[good], pos[good]))
-    d, p = (np.concatenate(x) for x in zip(*out, strict=True))
-    by = np.lexsort((p, d))
-    d, p = d[by], p[by]
-    ids, first = np.unique(d, return_index=True)
-    return pd.DataFrame({"content": ids, "pos": [x.astype(np.uint32).tobytes() for x in np.split(p, first[1:])] if len(ids) else []})
+    content, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+    return content, pos
 
 
 RUNS = "lead long, doc_id long, first long, before int, strings int, bytes binary, sure boolean"
@@ -234,7 +266,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, tuple[int, tuple]] = {}
         rows = []
         texts = [t.encode() for t in pdf["text"]]
-        keep = np.concatenate([(np.int64(i) << 32) + np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in x])) for i, x in enumerate(pdf["pos"])])
+        keep = np.concatenate([(np.int64(i) << 32) + np.unique(np.frombuffer(x, np.uint32)) for i, x in enumerate(pdf["pos"])])
         ids = pdf["doc_id"].tolist()
         for r in anchors(texts):
             place = (r.doc.astype(np.int64) << 32) + r.anchor
@@ -382,8 +414,9 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     first = keyed.where("doc_id is not null").groupBy("sha", "content").agg(F.min("doc_id").alias("rep"))
 
     proposed = known.select(content, "text").mapInPandas(_propose(buckets), PROPOSED)
-    found = proposed.groupBy("bucket").applyInPandas(_repeating, "content long, pos binary")
-    places = found.groupBy("content").agg(F.collect_list("pos").alias("pos")).join(first, "content").select(F.col("rep").alias("doc_id"), "pos")
+    found = proposed.groupBy("bucket").applyInPandas(_repeating(buckets), PACKED)
+    gathered = found.groupBy("part").applyInPandas(_unpacked, "content long, pos binary")
+    places = gathered.join(first, "content").select(F.col("rep").alias("doc_id"), "pos")
     suspects = common.settle(known.join(places.hint("shuffle_hash"), "doc_id"))
     runs = common.settle(suspects.mapInPandas(_emit, RUNS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
