@@ -46,11 +46,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strataq-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, where: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: it is computed once, and outlives lost executors."""
+def settle(df: DataFrame, where: str | None = None, codec: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, and outlives lost executors.
+
+    zstd as codec trades a little time for space where texts are written.
+    """
     spark = df.sparkSession
     where = where or scratch(spark)
-    df.write.parquet(where)
+    df.write.option("compression", codec).parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
 

@@ -417,8 +417,8 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     found = proposed.groupBy("bucket").applyInPandas(_repeating(buckets), PACKED)
     gathered = found.groupBy("part").applyInPandas(_unpacked, "content long, pos binary")
     places = gathered.join(first, "content").select(F.col("rep").alias("doc_id"), "pos")
-    suspects = common.settle(known.join(places.hint("shuffle_hash"), "doc_id"))
-    runs = common.settle(suspects.mapInPandas(_emit, RUNS))
+    suspects = common.settle(known.join(places.hint("shuffle_hash"), "doc_id"), codec="zstd")
+    runs = common.settle(suspects.mapInPandas(_emit, RUNS), codec="zstd")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.where("not sure").drop("sure", "strings").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
     certain = runs.where("sure").select("doc_id", "first", F.expr("shiftleft(1L, strings) - 1").alias("mask"))
