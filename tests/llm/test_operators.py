@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -428,3 +430,28 @@ def test_decontamination(spark, empty, block):
 def test_words_agree_with_unicode():
     assert unicodedata.normalize("NFC", "é") == "é"
     assert decontam.words("ÀB c-d_9") == ["ÀB".encode().lower(), b"c", b"d", b"9"]
+
+
+@pytest.mark.parametrize("long", [4, 1024])
+def test_minhash_block(monkeypatch, long):
+    """A block's pairs connect what all similar pairs connect, whether its sets are held whole or not."""
+    monkeypatch.setattr(minhash, "LONG", long)
+    monkeypatch.setattr(minhash, "LONG_SHARED", min(2, long))
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(12, rng.integers(8, 12), replace=False)) for _ in range(60)]
+    own = np.arange(60) % 2
+    held = [s[:long].astype(np.int64) for s in sets]
+    pdf = pd.DataFrame({"value": 0, "doc_id": range(60), "n": [len(s) for s in sets], "c": np.arange(60) // 3, "held": held, "own": own, "i": 0, "j": 1})
+    near = [(a, b) for a in range(60) for b in range(a + 1, 60) if own[a] != own[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
+
+    def classes(links):
+        root = {}
+        for a, b in links:
+            minhash._join(root, a // 3, b // 3)
+        return [minhash._root(root, c) for c in range(20)]
+
+    got = list(minhash._block(pdf, 80).itertuples(index=False, name=None))
+    if long < 12:
+        got = [p for p in got if p in near]
+    assert set(got) <= set(near) and classes(got) == classes(near)
+    assert minhash._block(pdf.assign(c=1), 80).empty
