@@ -9,20 +9,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm import common
 
 ORDER = 4
-#: N-grams that a language's model keeps at most, those with the highest counts; what is dropped backs off.
-MAX_GRAMS = 300_000
 #: Languages at most, those with the most text.
 MAX_LANGUAGES = 256
+#: N-grams over all languages up to which models are broadcast; larger ones stay in the shared folder and are joined. Both keep all.
+BROADCAST_GRAMS = 2_000_000
+#: Characters of text that are looked up together in stored models; a longer text is a chunk of its own.
+CHUNK_CHARS = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 UNKNOWN = 1e-5
@@ -110,11 +114,22 @@ def fit(name: str, keys: np.ndarray, counts: np.ndarray) -> Language:
     return Language(name, levels, mean, float((share * (cost - mean) ** 2).sum()) ** 0.5)
 
 
-def learn(docs: DataFrame, mod: int = 4, held_out: int = 2) -> list[Language]:
+class Stored(NamedTuple):
+    """Models too large to broadcast.
+
+    values: key, slot, lang, value, settled in the shared folder. slot is 2 n for the probability of a key of n characters,
+    2 n + 1 for the backoff of a context of the n-grams; lang is a place in languages, which have no levels of their own.
+    """
+
+    languages: list[Language]
+    values: DataFrame
+
+
+def learn(docs: DataFrame, mod: int = 4, held_out: int = 2) -> list[Language] | Stored:
     """A model for each non-null lang, from all texts whose crc32(doc_id as text) modulo mod isn't held_out.
 
-    All those texts are counted, on the executors; a language's model has MAX_GRAMS n-grams at most, which
-    bounds what reaches the driver and is broadcast.
+    All those texts are counted, on the executors, and every n-gram is kept. Up to BROADCAST_GRAMS the counts reach the
+    driver; beyond, the same models are computed and kept as tables.
     """
     common.prepare(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_mod(F.col("doc_id"), mod) != held_out))
@@ -139,15 +154,41 @@ def learn(docs: DataFrame, mod: int = 4, held_out: int = 2) -> list[Language]:
 
     counts = train.select("lang", "text").mapInPandas(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = common.settle(counts)
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    out = []
-    for r in sorted(top, key=lambda r: r["lang"]):
-        own = counts.where(F.col("lang") == r["lang"])
-        if r["grams"] > MAX_GRAMS:
-            own = own.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS)
-        pdf = own.select("gram", "n").toPandas()
-        out.append(fit(r["lang"], pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy()))
-    return out
+    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = counts.join(F.broadcast(top.select("lang")), "lang", "left_semi")
+    if counts.count() > BROADCAST_GRAMS:
+        return _store(counts)
+    pdf = counts.toPandas()
+    return [fit(lang, own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy()) for lang, own in pdf.groupby("lang")]
+
+
+def _store(counts: DataFrame) -> Stored:
+    """The models of fit() by joins, from all (lang, gram, n)."""
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    number = counts.sparkSession.createDataFrame(list(enumerate(names)), "no int, lang string")
+    at_level = {ORDER: common.settle(counts.join(F.broadcast(number), "lang").select(F.col("no").alias("lang"), F.col("gram").alias("key"), F.col("n").cast("double").alias("c")))}
+    for n in range(ORDER - 1, 0, -1):
+        shorter = at_level[n + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << (16 * n)) - 1)).alias("key"))
+        at_level[n] = common.settle(shorter.agg(F.count("*").cast("double").alias("c")))
+    values, p = [], None
+    for n in range(1, ORDER + 1):
+        of_lang = at_level[n].groupBy("lang").agg(F.sum((F.col("c") == 1).cast("double")).alias("once"), F.sum((F.col("c") == 2).cast("double")).alias("twice"))
+        discount = of_lang.select("lang", F.when((F.col("once") > 0) & (F.col("twice") > 0), F.try_divide("once", F.col("once") + 2 * F.col("twice"))).otherwise(0.5).alias("d"))
+        rows = at_level[n].withColumn("context", F.shiftrightunsigned("key", 16)).join(F.broadcast(discount), "lang")
+        context = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.max("d") * F.count("*") / F.sum("c")).alias("back"))
+        context = common.settle(context)
+        rows = rows.join(context, ["lang", "context"])
+        if n == 1:
+            rows = rows.withColumn("lower", F.lit(UNKNOWN))
+        else:
+            lower = p.select("lang", F.col("key").alias("low"), F.col("p").alias("lower"))
+            rows = rows.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1))).join(lower, ["lang", "low"])
+        p = common.settle(rows.select("lang", "key", "c", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("lower")).alias("p")))
+        values += [p.select("key", F.lit(2 * n).alias("slot"), "lang", F.col("p").alias("value")), context.select(F.col("context").alias("key"), F.lit(2 * n + 1).alias("slot"), "lang", F.col("back").alias("value"))]
+    cost, total = -F.log("p"), F.sum("c")
+    of_lang = p.groupBy("lang").agg((F.sum(F.col("c") * cost) / total).alias("mean"), (F.sum(F.col("c") * cost * cost) / total).alias("square"))
+    languages = [Language(names[r["lang"]], [], r["mean"], max(r["square"] - r["mean"] ** 2, 0.0) ** 0.5) for r in of_lang.orderBy("lang").collect()]
+    return Stored(languages, reduce(DataFrame.union, values))
 
 
 def classify(texts: list[str], languages: list[Language]) -> list[tuple[str, float, bool]]:
@@ -158,23 +199,23 @@ def classify(texts: list[str], languages: list[Language]) -> list[tuple[str, flo
         return [("und", 0.0, True)] * len(texts)
     keys, n = grams(list(number))
     distinct, inverse = np.unique(keys, return_inverse=True)
-    cost = np.stack([-np.log(lang.probability(distinct)) for lang in languages], 1)
-    of_word = np.add.reduceat(cost[inverse], np.cumsum(n) - n, axis=0)
-    out = []
-    for p in parts:
-        if not p:
-            out.append(("und", 0.0, True))
-            continue
-        size = int(n[p].sum())
-        entropy = of_word[p].sum(0) / size
+    counted = [i for i, p in enumerate(parts) if p]
+    places, starts = np.concatenate([parts[i] for i in counted]), np.cumsum([0] + [len(parts[i]) for i in counted[:-1]])
+    sizes = np.add.reduceat(n[places], starts)
+    entropies = np.empty((len(counted), len(languages)))
+    for j, lang in enumerate(languages):
+        of_word = np.add.reduceat(-np.log(lang.probability(distinct))[inverse], np.cumsum(n) - n)
+        entropies[:, j] = np.add.reduceat(of_word[places], starts) / sizes
+    out = [("und", 0.0, True)] * len(texts)
+    for i, size, entropy in zip(counted, sizes.tolist(), entropies, strict=True):
         best = int(np.argmin(entropy))
         score = 1 / np.exp(-(entropy - entropy[best]) * min(size, 100)).sum()
         lang = languages[best]
-        out.append((lang.name, float(score), bool(entropy[best] > lang.entropy + 1.0 + 4 * lang.spread / size**0.5)))
+        out[i] = lang.name, float(score), bool(entropy[best] > lang.entropy + 1.0 + 4 * lang.spread / size**0.5)
     return out
 
 
-def predict(docs: DataFrame, languages: list[Language], mod: int = 4, held_out: int = 2) -> DataFrame:
+def predict(docs: DataFrame, languages: list[Language] | Stored, mod: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text).
 
     lang_pred is the language of the lowest cross-entropy a character; score is its posterior among the
@@ -183,6 +224,8 @@ def predict(docs: DataFrame, languages: list[Language], mod: int = 4, held_out:
     Repeated rows each give a row, an empty table an empty one; other columns are ignored.
     """
     spark = common.prepare(docs.sparkSession)
+    if isinstance(languages, Stored):
+        return _held(_look_up(common.whole_texts(docs), languages), mod, held_out)
     shared = spark.sparkContext.broadcast(languages)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,5 +234,64 @@ def predict(docs: DataFrame, languages: list[Language], mod: int = 4, held_out:
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield out
 
-    out = common.whole_texts(docs).mapInPandas(scan, "doc_id long, lang_pred string, score double, rejected boolean")
+    return _held(common.whole_texts(docs).mapInPandas(scan, PREDICTED), mod, held_out)
+
+
+PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
+
+
+def _held(out: DataFrame, mod: int, held_out: int) -> DataFrame:
     return out.select("doc_id", (common.crc_mod(F.col("doc_id"), mod) == held_out).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _look_up(docs: DataFrame, models: Stored) -> DataFrame:
+    """PREDICTED for docs (doc_id, text): each chunk of texts is scored by what all models say about its own n-grams.
+
+    Texts are written once, with the numbers of their chunks, so that both reads see the same chunks.
+    """
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for pdf in batches:
+            at = []
+            for length in pdf["text"].str.len():
+                if size and size + length > CHUNK_CHARS:
+                    chunk, size = chunk + 1, 0
+                size += length
+                at.append(chunk)
+            yield pdf.assign(chunk=np.array(at, dtype=np.int64))
+
+    texts = common.settle(docs.mapInPandas(number, "doc_id long, text string, chunk long"), codec="zstd")
+
+    def want(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, own in pdf.groupby("chunk")["text"]:
+                found = list({w for t in own for w in words(t)})
+                if not found:
+                    continue
+                keys = np.unique(grams(found)[0])
+                for n in range(1, ORDER + 1):
+                    low = np.unique(_low(keys, n))
+                    for slot, k in ((2 * n, low), (2 * n + 1, np.unique(low >> np.uint64(16)))):
+                        yield pd.DataFrame({"chunk": chunk, "slot": slot, "key": k.view(np.int64)})
+
+    languages = models.languages
+
+    def score(own: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        tables = {k: _table(g) for k, g in seen.groupby(["lang", "slot"])}
+        none = np.zeros(0, np.uint64), np.zeros(0)
+        at = lambda j, slot: tables.get((j, slot), none)
+        here = [lang._replace(levels=[Level(*at(j, 2 * n), *at(j, 2 * n + 1)) for n in range(1, ORDER + 1)]) for j, lang in enumerate(languages)]
+        out = pd.DataFrame(classify(own["text"].tolist(), here), columns=["lang_pred", "score", "rejected"])
+        out.insert(0, "doc_id", own["doc_id"].astype("Int64").array)
+        return out
+
+    wanted = texts.select("chunk", "text").mapInPandas(want, "chunk long, slot int, key long")
+    seen = wanted.join(models.values, ["slot", "key"]).select("chunk", "slot", "key", "lang", "value")
+    return texts.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInPandas(score, PREDICTED)
+
+
+def _table(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values; a chunk that was read in parts asks for a key more than once."""
+    keys, first = np.unique(rows["key"].to_numpy(np.int64).view(np.uint64), return_index=True)
+    return keys, rows["value"].to_numpy()[first]

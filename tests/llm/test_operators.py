@@ -252,6 +252,38 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, []).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("bound", [10**9, 0])
+def test_language_models_keep_all_grams(spark, monkeypatch, bound):
+    rng = random.Random(5)
+    texts = [" ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(6)) for _ in range(1000)) for _ in range(120)]
+    texts += ["der " + "".join(chr(97 + rng.randrange(26)) for _ in range(5)) for _ in range(600)]
+    langs = {i: "zh" if i < 120 else f"l{i % 200:03}" for i in range(len(texts))}
+    docs = table(spark, texts, langs).repartition(3)
+    count = {}
+    for i, lang in langs.items():
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            keys, n = langid.grams(langid.words(texts[i]))
+            count.setdefault(lang, Counter()).update(keys.tolist())
+    want = [langid.fit(lang, np.array(list(c), dtype=np.uint64), np.array(list(c.values()))) for lang, c in sorted(count.items())]
+    assert len(want[-1].levels[-1].keys) > 300_000
+    monkeypatch.setattr(langid, "BROADCAST_GRAMS", bound)
+    monkeypatch.setattr(langid, "CHUNK_CHARS", 20_000)
+    models = langid.learn(docs)
+    assert isinstance(models, langid.Stored) == (bound == 0)
+    languages = models if bound else models.languages
+    assert [m.name for m in languages] == [m.name for m in want]
+    assert np.allclose([(m.entropy, m.spread) for m in languages], [(m.entropy, m.spread) for m in want])
+    if bound:
+        kept = {(m.name, 2 * n): len(level.keys) for m in models for n, level in enumerate(m.levels, 1)}
+    else:
+        kept = {(languages[r["lang"]].name, r["slot"]): r["count"] for r in models.values.where("slot % 2 = 0").groupBy("lang", "slot").count().collect()}
+    assert kept == {(m.name, 2 * n): len(level.keys) for m in want for n, level in enumerate(m.levels, 1)}
+    some = docs.where("doc_id % 7 = 0")
+    got = rows(langid.predict(some, models))
+    for i, (lang, score, rejected) in zip(range(0, len(texts), 7), langid.classify(texts[::7], want), strict=True):
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (lang, rejected) and abs(got[i]["score"] - score) < 1e-6
+
+
 def test_kneser_ney_sums_to_one():
     keys, n = langid.grams(["abc", "abd", "bca", "aab"] * 3 + ["cab"])
     distinct, inverse = langid.np.unique(keys, return_inverse=True)
