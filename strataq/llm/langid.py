@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from strataq.llm import common
 
 ORDER = 4
-#: Languages at most, those with the most text.
-MAX_LANGUAGES = 256
 #: N-grams over all languages up to which models are broadcast; larger ones stay in the shared folder and are joined. Both keep all.
 BROADCAST_GRAMS = 2_000_000
 #: Characters of text that are looked up together in stored models; a longer text is a chunk of its own.
@@ -154,8 +152,6 @@ def learn(docs: DataFrame, mod: int = 4, held_out: int = 2) -> list[Language] |
 
     counts = train.select("lang", "text").mapInPandas(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = common.settle(counts)
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = counts.join(F.broadcast(top.select("lang")), "lang", "left_semi")
     if counts.count() > BROADCAST_GRAMS:
         return _store(counts)
     pdf = counts.toPandas()
