@@ -271,6 +271,22 @@ def expand_hits(t):
     return expand.expand(t("nodes"), t("edges"), _hits(t))
 
 
+_ALL_SIBLINGS = "SELECT a.node_id AS start, string_agg(b.name, ',' ORDER BY b.start_line, b.node_id) AS siblings FROM owned a JOIN owned b ON a.owner = b.owner AND a.node_id <> b.node_id GROUP BY 1"
+_ALL_EXPANDED = _EXPAND.replace("n.is_method AND n.name LIKE '%7'", "n.kind = 'function'")
+
+
+@query("SELECT * FROM sib", owned=OWNED, sib=_ALL_SIBLINGS)
+def siblings_all(t):
+    """As siblings, with every function and method as a hit."""
+    return expand.siblings(t("nodes"), _functions(t)).select("start", F.array_join("siblings", ",").alias("siblings"))
+
+
+@query(_ALL_EXPANDED, owned=OWNED, sib=_ALL_SIBLINGS, **_fwd, **_rev)
+def expand_all(t):
+    """As expand_hits, with every function and method as a hit."""
+    return expand.expand(t("nodes"), t("edges"), _functions(t))
+
+
 _TOPK = """SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
     FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 {})) WHERE rank <= 5"""

@@ -134,3 +134,24 @@ def test_queries_agree_with_oracles(spark):
         cols = sorted(df.columns)
         assert cols == sorted(want.columns)
         assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall())), name
+
+
+def _agree(spark, name, sf="/root/testdata/sf0.001"):
+    con = duckdb.connect()
+    for t in registry.adapter.TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df, want = registry.queries()[name](spark, sf), con.sql(registry.oracle_sql()[name])
+    cols = sorted(df.columns)
+    got = df.select(*cols).collect()
+    assert cols == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.select(*cols).fetchall())), name
+    return got
+
+
+def test_every_function_is_expanded(spark):
+    nodes = registry.adapter.relation(spark, "/root/testdata/sf0.001", "nodes")
+    functions = {r["node_id"] for r in nodes.where("kind = 'function'").collect()}
+    assert {r["start"] for r in _agree(spark, "expand_all")} == functions
+    _agree(spark, "siblings_all")
+    _agree(spark, "siblings")
+    _agree(spark, "expand_hits")
