@@ -340,6 +340,29 @@ def hybrid_search(t):
     return retrieve.hybrid(by_vector, by_name)
 
 
+# The question of a vector is about the part whose key is its number, modulo their count.
+_ASKED = """SELECT CAST(vec_id AS INT) AS query_id, 'How does ' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || ' work' AS query
+    FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM part) k JOIN part ON p_partkey = vec_id % k.n WHERE vec_id % 20 = 0"""
+_ALL_LISTS = {
+    "vec": f"SELECT CAST(query_id AS INT) AS query_id, 'v' || CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_TOPK.format('')})",
+    "lists": _LISTS["both"],
+    "single": _LISTS["single"].replace("FROM both", "FROM lists"),
+}
+
+
+@query("SELECT query_id, chunk_id, CASE WHEN place % 2 = 0 THEN 'vector' ELSE 'name' END AS origin, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM single) WHERE rank <= 5", questions=_ASKED, matched=_MATCH, **_ALL_LISTS)
+def hybrid_search_all(t):
+    """As hybrid_search, for every vector that vector_topk takes as a query, beside a question about a part."""
+    v, q = _vectors(t)
+    by_vector = retrieve.vector_topk(v, q).select(F.col("query_id").cast("int").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "rank")
+    part = t("part")
+    keyed = q.crossJoin(part.agg(F.count("*").alias("n"))).select(F.col("query_id").cast("int").alias("query_id"), (F.col("query_id") % F.col("n")).alias("p_partkey"))
+    name = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"))
+    asked = keyed.join(part, "p_partkey").select("query_id", F.concat(F.lit("How does "), name, F.lit(" work")).alias("query"))
+    by_name = retrieve.lexical_match(t("nodes"), asked).select("query_id", F.col("node_id").alias("chunk_id"), "rank")
+    return retrieve.hybrid(by_vector, by_name)
+
+
 @query("""SELECT s.symbol, n.node_id FROM (SELECT name AS symbol, NULL AS owner, name FROM nodes WHERE kind <> 'module' GROUP BY 1, 3
     UNION ALL SELECT p.name || '.' || m.name, p.name, m.name FROM nodes m JOIN nodes p ON p.node_id = m.parent_id GROUP BY 1, 2, 3) s
     JOIN nodes n ON n.name = s.name AND n.kind <> 'module' LEFT JOIN nodes p ON p.node_id = n.parent_id WHERE s.owner IS NULL OR (n.is_method AND p.name = s.owner)""")

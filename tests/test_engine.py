@@ -155,3 +155,11 @@ def test_every_function_is_expanded(spark):
     _agree(spark, "siblings_all")
     _agree(spark, "siblings")
     _agree(spark, "expand_hits")
+
+
+def test_every_vector_query_is_hybrid(spark):
+    sf = "/root/testdata/sf0.001"
+    queries = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    got = _agree(spark, "hybrid_search_all")
+    assert {r["query_id"] for r in got} == queries
+    assert {r["query_id"] for r in got if r["origin"] == "name"} == queries
