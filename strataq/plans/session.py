@@ -127,8 +127,9 @@ class Session:
             found = retrieve.symbol_lookup(nodes, self.spark.createDataFrame([(routed["symbol"],)], "symbol string"))
             named = nodes.join(found, "node_id", "left_semi")
         if named is not None and not named.isEmpty():
-            facts = named.select(F.concat_ws("\n\n", F.concat(X.kind_label(F.col("kind"), F.col("is_method")), F.lit(":\n"), F.col("name")), F.format_string("Location:\n%s lines %d-%d", "relative_path", "start_line", "end_line")).alias("f"), "node_id")
-            text = "\n\n---\n\n".join(r["f"] for r in facts.orderBy("node_id").limit(100).collect())
+            texts = self._files().where("language = 'python'").select("relative_path", F.decode("content", "UTF-8").alias("text"))
+            facts = chunk.facts(named, vectors.select(F.col("chunk_id").alias("node_id"), "content"), texts, routed["nav_type"] == "implementation")
+            text = "\n\n---\n\n".join(r["fact"] for r in facts.orderBy("node_id").collect())
             reply = self.answer(f"{chunk.INSTRUCTIONS}\n\nUser question:\n{question}\n\n{text}")
         else:
             by_vector = retrieve.vector_topk(vectors.withColumnRenamed("chunk_id", "vec_id"), q, k).select("query_id", F.col("vec_id").alias("chunk_id"), "rank")

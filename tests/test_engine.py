@@ -163,3 +163,19 @@ def test_every_vector_query_is_hybrid(spark):
     got = _agree(spark, "hybrid_search_all")
     assert {r["query_id"] for r in got} == queries
     assert {r["query_id"] for r in got if r["origin"] == "name"} == queries
+
+
+def test_navigation_gives_all_matches_and_sources(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    for i in range(103):
+        (root / f"m{i:03}.py").write_text(f"def run():\n    return {i}\n")
+    (root / "c.py").write_text("class Box:\n    size = 7\n\n    def open(self):\n        return self.size\n")
+    s = Session(Catalog(spark, str(tmp_path / "catalog")), str(root))
+    s.init()
+    where = s.ask("where is run defined?")
+    assert where.count("Function:\nrun") == 103 and "Source:" not in where
+    shown = s.ask("show implementation of run")
+    assert all(f"Source:\nFunction run\nModule m{i:03}.py\ndef run():\n    return {i}" in shown for i in range(103))
+    assert "Class:\nBox\n\nLocation:\nc.py lines 1-5\n\nSource:\nclass Box:\n    size = 7\n" in s.ask("show me the implementation of Box")
+    assert "Source:\nMethod Box.open\nModule c.py\n    def open(self):" in s.ask("show implementation of Box.open")
