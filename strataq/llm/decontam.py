@@ -1,8 +1,9 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Every batch of documents is one shard. Its words become numbers of the test vocabulary (0: a word that no test
-item has, which no match can cross), its suffixes that can match at all are sorted, and every suffix of the
-test set is binary-searched among them. Documents never move, so one very common passage costs no skew.
+item has, which no match can cross), its suffixes that can match at all are sorted by their first 13 words (or all
+of a shorter item), and every suffix of the test set is binary-searched among them. Found windows are not extended;
+matches are their unions over all items. Documents never move, so one very common passage costs no skew.
 """
 
 from __future__ import annotations
