@@ -24,7 +24,7 @@ ORDER = 4
 #: N-grams over all languages up to which models are broadcast; larger ones stay in the shared folder and are joined. Both keep all.
 BROADCAST_GRAMS = 2_000_000
 #: Characters of text that are looked up together in stored models; a longer text is a chunk of its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 21
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 UNKNOWN = 1e-5
