@@ -153,9 +153,9 @@ def _join(root: dict[int, int], u: int, v: int) -> bool:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the full sets confirm."""
+    """The pairs (a, b) that the full sets confirm; pairs are settled. The set of a document in very many pairs goes to several tasks."""
     side = lambda t, x, c: t.select(F.col("doc_id").alias(x), F.col(c).alias(f"{c}_{x}"))
-    full = pairs.join(side(sets, "a", "all"), "a").join(side(sets, "b", "all"), "b")
+    full = common.join_salted(pairs, side(sets, "a", "all"), "a", "b").join(side(sets, "b", "all"), "b")
     counted = full.select("a", "b", F.size(F.array_intersect("all_a", "all_b")).alias("i"), (F.size("all_a") + F.size("all_b")).alias("s"))
     return counted.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
@@ -173,14 +173,17 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int =
     compared with the one whose values are the most common. What then lies in one component needs no further
     comparison; all pairs of different components in a list are compared in a second round. No list is cut. A pair
     leaves a list only if the estimate from longer sketches passes it; of long lists, similar sets that these hold
-    whole leave as a spanning forest. The full sets confirm all of them.
+    whole leave as a spanning forest. The full sets confirm all of them. Digests that many documents have, and documents
+    that meet very many, are dealt over several tasks.
     """
     common.prepare(docs.sparkSession)
     texts = common.whole_texts(docs)
     base = common.settle(sketches(texts, width, k))
     some = base.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = some.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct()
+    classes = common.settle(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ids = some.select("doc_id", "digest")
+    member = common.join_groups(ids, classes, "digest", rows, F.col("doc_id").cast("string").cast("binary")).select("doc_id", "rep").distinct()
     first = common.settle(some.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
     posted = first.select("doc_id", "n", F.explode("sketch").alias("value"))
     often = posted.groupBy("value").count().where("count > 1")
@@ -198,11 +201,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int =
     picked = lambda df: df.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
 
     hub = listed.groupBy("value").agg(F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))).alias("hub"))
-    spokes = listed.join(hub, "value").where("doc_id <> hub").select(F.col("hub").alias("doc_id_x"), F.col("doc_id").alias("doc_id_y"), F.col("n").alias("n_y")).distinct()
+    spokes = common.settle(listed.join(hub, "value").where("doc_id <> hub").select(F.col("hub").alias("doc_id_x"), F.col("doc_id").alias("doc_id_y"), F.col("n").alias("n_y")).distinct())
     size = listed.select(F.col("doc_id").alias("doc_id_x"), F.col("n").alias("n_x")).distinct()
     of = lambda x: brief.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("brief").alias(f"brief_{x}"))
-    near = picked(spokes.join(size, "doc_id_x").join(of("x"), "doc_id_x").join(of("y"), "doc_id_y").where(fits))
+    near = common.settle(picked(common.join_salted(spokes, size.join(of("x"), "doc_id_x"), "doc_id_x", "doc_id_y").join(of("y"), "doc_id_y").where(fits)))
     links = common.settle(confirm(near, sets, percent))
+    common.discard(spokes, near)
     reached = connected(links)
 
     labelled = common.settle(
@@ -214,7 +218,9 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int =
     many = open_.where(F.col("size") > SHORT_LIST).join(sets.select("doc_id", F.slice("all", 1, LONG).alias("held")), "doc_id")
     apart = (F.col("c_x") != F.col("c_y")) & (F.col("doc_id_x") < F.col("doc_id_y"))
     rest = picked(side(few, "x").join(side(few, "y"), "value").where(apart & fits)).union(_in_blocks(many, percent)).distinct()
+    rest = common.settle(rest)
     reached = connected(links.union(confirm(rest, sets, percent)))
+    common.discard(first, listed, sets, links, labelled, open_, few, rest)
 
     of_member = member.join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", F.col("n").alias("n_shingles")).join(of_member.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
