@@ -5,18 +5,19 @@ Not every suffix is indexed. Of the q-grams in each LENGTH-byte string the one w
 the LENGTH - Q bytes before them: about one suffix in sixteen. Anchors that
 no other document has with the same HALF bytes on one side are dropped; the others are dealt by sampled splitters over their leading bytes, sorted in their bucket by multikey quicksort, and
 compared with their neighbours. Equal strings have the same leading bytes at their anchor, so no group of equal
-strings lies across a splitter.
+strings lies across a splitter. Leading bytes that very many runs have are split further: their runs are compared in
+salted parts, and what is the first of its kind in a part is dealt again by all its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.llm import common
@@ -27,6 +28,12 @@ REACH = LENGTH - Q  # most bytes before the anchor
 HALF = REACH // 2
 #: Bytes of text that are hashed at a time, and that are gathered before anchors are handed on.
 CHUNK, FLUSH = 2 << 20, 16 << 20
+#: Bytes of text whose anchors one bucket compares; buckets grow with the input, not in size.
+BUCKET_BYTES = 16 << 20
+#: Runs with the same leading bytes that one task compares; more are split. Leads of that kind that are broadcast at most.
+HOT_RUNS, MOST_LEADS = 8_000, 200_000
+#: A text is known by so many bytes of its SHA-256: 96 bits.
+IDENTITY = 12
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P1 = np.uint64(0x9E3779B97F4A7C15)
@@ -134,6 +141,17 @@ def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 _ARRAYS = ("docs", "idx", "left", "right", "low", "high", "left_marks", "right_marks")
+_IDS = np.dtype([("high", ">u8"), ("low", ">u4")])
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and the number among them of each."""
+    order = np.lexsort((ids["low"], ids["high"]))
+    own = ids[order]
+    new = np.concatenate([[True], (own["high"][1:] != own["high"][:-1]) | (own["low"][1:] != own["low"][:-1])])[: len(own)]
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return own[new], number
 PROPOSED = "bucket int, sure boolean, " + ", ".join(f"{x} binary" for x in _ARRAYS)
 
 
@@ -150,9 +168,9 @@ def _propose(buckets: int):
         arrays = (docs[present], idx.astype(np.uint16), left, right, (pos & 0xFFFF).astype(np.uint16), (pos >> 16).astype(np.uint16), *(marks or (none, none)))
         return (bucket, sure, *(x.tobytes() for x in arrays))
 
-    def flush(ids: list[int], parts: list[Runs], turn: int) -> Iterator[pd.DataFrame]:
+    def flush(ids: list[bytes], parts: list[Runs], turn: int) -> Iterator[pd.DataFrame]:
         r = _joined(parts)
-        docs, none = np.array(ids, dtype=np.int64), np.zeros(0, np.uint32)
+        docs, none = np.frombuffer(b"".join(ids), _IDS), np.zeros(0, np.uint32)
         many = _shared(r.left, r.doc) | _shared(r.right, r.doc)
         pos, bucket = r.anchor.astype(np.uint32), (r.hash % np.uint64(buckets)).astype(np.int64)
         left, right = ((x >> np.uint64(32)).astype(np.uint32) | (x != 0).astype(np.uint32) for x in (r.left, r.right))
@@ -179,8 +197,8 @@ def _propose(buckets: int):
 
         parts, size, turn = {}, 0, TaskContext.get().partitionId()
         for pdf in batches:
-            for content, t in zip(pdf["content"].tolist(), pdf["text"], strict=True):
-                if len(t) * 4 < LENGTH or content in parts or len(raw := t.encode()) < LENGTH:
+            for t in pdf["text"]:
+                if len(t) * 4 < LENGTH or len(raw := t.encode()) < LENGTH or (content := hashlib.sha256(raw).digest()[:IDENTITY]) in parts:
                     continue  # of copies of a whole text one is enough
                 parts[content] = raw
                 size += len(raw)
@@ -208,14 +226,14 @@ def _repeating(parts: int):
     return lambda pdf: _packed(*_repeats(pdf), parts)
 
 
-def _packed(content: np.ndarray, pos: np.ndarray, parts: int) -> pd.DataFrame:
-    """Content, count and places of each text, a row a part; a part is a range of contents."""
-    by = np.lexsort((pos, content))
-    content, pos = content[by], pos[by].astype(np.uint32)
-    first = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))[: len(content)]
-    ids, at = content[first], np.append(first, len(content))
-    own = (((ids >> 32) + (1 << 31)) * parts) >> 32
-    edges = np.searchsorted(own, np.arange(parts + 1))
+def _packed(known: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int) -> pd.DataFrame:
+    """Identity, count and places of each text, a row a part; a part is a range of identities. doc: numbers among known, which are in order."""
+    by = np.lexsort((pos, doc))
+    doc, pos = doc[by], pos[by].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[: len(doc)]
+    ids, at = known[doc[first]], np.append(first, len(doc))
+    own = ((ids["high"].astype(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = np.searchsorted(own, np.arange(parts + 1, dtype=np.uint64))
     counts = np.diff(at).astype(np.uint32)
     rows = [(k, ids[a:z].tobytes(), counts[a:z].tobytes(), pos[at[a] : at[z]].tobytes()) for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < z]
     return pd.DataFrame(rows, columns=["part", "ids", "counts", "pos"])
@@ -223,22 +241,23 @@ def _packed(content: np.ndarray, pos: np.ndarray, parts: int) -> pd.DataFrame:
 
 def _unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
     """One part of the texts: (content, all its places)."""
-    ids, counts, pos = (np.frombuffer(b"".join(pdf[x]), t) for x, t in (("ids", np.int64), ("counts", np.uint32), ("pos", np.uint32)))
-    content = np.repeat(ids, counts)
-    by = np.argsort(content, kind="stable")
-    content, pos = content[by], pos[by]
-    first = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))[: len(content)]
-    at = np.append(first, len(content)).tolist()
-    return pd.DataFrame({"content": content[first], "pos": [pos[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]})
-
-
-def _repeats(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(content, place) of the anchors in one bucket that repeat."""
-    of = {"docs": np.int64, "idx": np.uint16, "low": np.uint16, "high": np.uint16}
+    ids, counts, pos = (np.frombuffer(b"".join(pdf[x]), t) for x, t in (("ids", _IDS), ("counts", np.uint32), ("pos", np.uint32)))
+    known, number = _numbered(ids)
+    doc = np.repeat(number, counts)
+    by = np.argsort(doc, kind="stable")
+    pos, at = pos[by], np.searchsorted(doc[by], np.arange(len(known) + 1)).tolist()
+    return pd.DataFrame({"content": [x.tobytes() for x in known], "pos": [pos[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]})
+
+
+def _repeats(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identities of the bucket's texts; number among them and place of the anchors that repeat."""
+    of = {"docs": _IDS, "idx": np.uint16, "low": np.uint16, "high": np.uint16}
     out, held, marks = [], [], ([], [])
-    for r in pdf.itertuples():
+    known, number = _numbered(np.frombuffer(b"".join(pdf["docs"]), _IDS))
+    ends = np.cumsum(pdf["docs"].map(len).to_numpy() // IDENTITY)
+    for r, end in zip(pdf.itertuples(), ends.tolist(), strict=True):
         x = {n: np.frombuffer(getattr(r, n), of.get(n, np.uint32)) for n in _ARRAYS}
-        doc, pos = x["docs"][x["idx"]], x["low"].astype(np.uint32) | (x["high"].astype(np.uint32) << np.uint32(16))
+        doc, pos = number[end - len(x["docs"]) : end][x["idx"]], x["low"].astype(np.uint32) | (x["high"].astype(np.uint32) << np.uint32(16))
         if r.sure:
             out.append((doc, pos))
         else:
@@ -250,14 +269,13 @@ def _repeats(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         good = np.zeros(len(doc), dtype=bool)
         for side, own in zip(sides, marks, strict=True):
             mark = np.unique(np.concatenate(own))  # stands for a document that isn't here
-            owner = np.concatenate([doc, np.full(len(mark), -(2**62), np.int64)])
+            owner = np.concatenate([doc, np.full(len(mark), -1, np.int64)])
             good |= _shared(np.concatenate([side, mark]), owner)[: len(doc)]
         out.append((doc[good], pos[good]))
-    content, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-    return content, pos
+    return known, *(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-RUNS = "lead long, doc_id long, first long, before int, strings int, bytes binary, sure boolean"
+RUNS = "lead long, doc_id long, row long, first long, before int, strings int, bytes binary, sure boolean"
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +285,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         texts = [t.encode() for t in pdf["text"]]
         keep = np.concatenate([(np.int64(i) << 32) + np.unique(np.frombuffer(x, np.uint32)) for i, x in enumerate(pdf["pos"])])
-        ids = pdf["doc_id"].tolist()
+        ids, numbers = pdf["doc_id"].tolist(), pdf["row"].tolist()
         for r in anchors(texts):
             place = (r.doc.astype(np.int64) << 32) + r.anchor
             own = np.flatnonzero(keep[np.minimum(np.searchsorted(keep, place), len(keep) - 1)] == place)
@@ -276,7 +294,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     raw, doc_id = texts[i], ids[i]
                     run = raw[a : z + LENGTH]
                     lead = int.from_bytes(raw[p : p + 8], "big") - (1 << 63)
-                    row = (lead, doc_id, a, p - a, z - a + 1, run, False)
+                    row = (lead, doc_id, numbers[i], a, p - a, z - a + 1, run, False)
                     old = held.get(run)
                     if old is None:
                         held[run] = (doc_id, row)
@@ -284,7 +302,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         rows.append(row)
                     else:
                         lose, win = (old, (doc_id, row)) if doc_id < old[0] else ((doc_id, row), old)
-                        rows.append((*lose[1][:5], b"", True))
+                        rows.append((*lose[1][:6], b"", True))
                         held[run] = win
         rows += [x for _, x in held.values()]
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in RUNS.split(", ")])
@@ -309,30 +327,61 @@ def multikey_groups(words: np.ndarray) -> np.ndarray:
     return label
 
 
-HITS = "doc_id long, first long, mask long"
+HITS = "doc_id long, row long, first long, mask long, string binary"
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One bucket, sorted by leading bytes: which strings of each run are in a smaller document."""
-    tail: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        tail.append(pdf)
-        last = pdf["lead"].iloc[-1]
-        if tail[0]["lead"].iloc[0] == last or sum(map(len, tail)) < 20_000:
-            continue
-        whole = pd.concat(tail, ignore_index=True)
-        cut = whole["lead"].searchsorted(last)
-        yield from _bucket(whole.iloc[:cut])
-        tail = [whole.iloc[cut:]]
-    if tail:
-        yield from _bucket(pd.concat(tail, ignore_index=True))
+def _by_lead(f: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], keys: list[str]):
+    """f over the rows of a task, which are sorted by keys: some whole keys at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            tail.append(pdf)
+            last = pdf[keys].iloc[-1]
+            if (tail[0][keys].iloc[0] == last).all() or sum(map(len, tail)) < 20_000:
+                continue
+            whole = pd.concat(tail, ignore_index=True)
+            same = (whole[keys] == last).all(axis=1).to_numpy()
+            cut = len(whole) - int(same.sum())  # the last key's rows are the last rows
+            yield from f(whole.iloc[:cut])
+            tail = [whole.iloc[cut:]]
+        if tail:
+            yield from f(pd.concat(tail, ignore_index=True))
+
+    return run
 
 
 def _bucket(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Which strings of each run are in a smaller document of these."""
+    mask = np.zeros(len(pdf), np.int64)
+    doc, before = pdf["doc_id"].to_numpy(np.int64), pdf["before"].to_numpy(np.int64)
+    for back, valid, g, least, _ in _equal_strings(pdf, None):
+        hit = valid[least[g] < doc[valid]]
+        mask[hit] |= np.int64(1) << (before[hit] - back)
+    some = np.flatnonzero(mask)
+    yield pd.DataFrame({"doc_id": doc[some], "row": pdf["row"].to_numpy(np.int64)[some], "first": pdf["first"].to_numpy(np.int64)[some], "mask": mask[some], "string": None})
+
+
+def _salted(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """As _bucket, over parts of hot leads; and each string of a part once, with its smallest document, to be compared with the other parts'."""
+    yield from _bucket(pdf)
+    row, first, doc = (pdf[c].to_numpy(np.int64) for c in ("row", "first", "doc_id"))
+    before = pdf["before"].to_numpy(np.int64)
+    for back, valid, g, least, ctx in _equal_strings(pdf, 1):
+        mine = np.flatnonzero(least[g] == doc[valid])
+        one = valid[mine[np.unique(g[mine], return_index=True)[1]]]
+        yield pd.DataFrame({"doc_id": doc[one], "row": row[one], "first": first[one], "mask": np.int64(1) << (before[one] - back), "string": [x.tobytes() for x in ctx[one, REACH - back : REACH - back + LENGTH]]})
+
+
+def _equal_strings(pdf: pd.DataFrame, least_runs: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(back, runs, group of each run's string, smallest document of each group, bytes around all anchors) for the strings that begin `back` bytes before their anchor.
+
+    Runs are only taken together with others of the same part, if there are parts. Without least_runs, strings that can't have an equal are left out.
+    """
     n = len(pdf)
-    if n < 2:
+    if n < (least_runs or 2):
         return
     doc = pdf["doc_id"].to_numpy(np.int64)
     before = pdf["before"].to_numpy(np.int64)
@@ -343,22 +392,42 @@ def _bucket(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
     row = np.repeat(np.arange(n), size)
     col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(REACH - before, size)
     ctx[row, col] = flat
-    mask = np.zeros(n, np.int64)
     strings = size - LENGTH + 1
-    groups = multikey_groups(_words(ctx[:, REACH : REACH + Q]))
-    alone = np.bincount(groups)[groups] == 1
+    words = _words(ctx[:, REACH : REACH + Q])
+    if "salt" in pdf:
+        words = np.column_stack([pdf["salt"].to_numpy(np.uint64), words])
+    groups = multikey_groups(words)
+    alone = np.bincount(groups)[groups] == 1 if least_runs is None else np.zeros(n, dtype=bool)
     for back in range(WINDOW):
-        # the string that begins `back` bytes before the anchor
         valid = np.flatnonzero(~alone & (back <= before) & (before - back < strings))
-        if len(valid) < 2:
+        if len(valid) < (least_runs or 2):
             continue
         g = multikey_groups(np.column_stack([groups[valid].astype(np.uint64), _words(ctx[valid, REACH - back : REACH - back + LENGTH])]))
         least = np.full(g.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, g, doc[valid])
-        hit = valid[least[g] < doc[valid]]
-        mask[hit] |= np.int64(1) << (before[hit] - back)
-    some = np.flatnonzero(mask)
-    yield pd.DataFrame({"doc_id": doc[some], "first": pdf["first"].to_numpy(np.int64)[some], "mask": mask[some]})
+        yield back, valid, g, least, ctx
+
+
+def _hits(runs: DataFrame, parts: int) -> DataFrame:
+    """row, first, mask: the strings of runs (lead, doc_id, row, first, before, bytes) that a smaller document has, too.
+
+    A lead of more than HOT_RUNS runs goes to several tasks. Such leads are broadcast if there are MOST_LEADS at most, and joined by shuffle otherwise.
+    """
+    hot = common.settle(runs.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > HOT_RUNS).withColumnRenamed("lead", "hot"))
+    many = hot.count()
+    deal = lambda df: df.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    if not many:
+        return deal(runs).mapInPandas(_by_lead(_bucket, ["lead"]), HITS).select("row", "first", "mask")
+    side = F.broadcast(hot) if many <= MOST_LEADS else hot
+    on = F.col("lead") == F.col("hot")
+    usual = deal(runs.join(side, on, "left_anti")).mapInPandas(_by_lead(_bucket, ["lead"]), HITS)
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOT_RUNS)).cast("int").alias("salt")
+    salted = runs.join(side, on).select("lead", "doc_id", "row", "first", "before", "bytes", salt).repartition(parts, "lead", "salt").sortWithinPartitions("lead", "salt")
+    parted = common.settle(salted.mapInPandas(_by_lead(_salted, ["lead", "salt"]), HITS), codec="zstd")
+    found = usual.where("string is null").union(parted.where("string is null")).select("row", "first", "mask")
+    left = parted.where("string is not null")
+    again = left.withColumn("least", F.min("doc_id").over(Window.partitionBy("string"))).where("least < doc_id")  # a string has a row a part at most
+    return found.union(again.select("row", "first", "mask"))
 
 
 def _words(rows: np.ndarray) -> np.ndarray:
@@ -389,6 +458,7 @@ def _cut(keep_text: bool):
                 rows.append((int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left)[: len(columns)])
             out = pd.DataFrame(rows, columns=columns)
             out.insert(0, "doc_id", pdf["doc_id"].array)
+            out.insert(1, "content", pdf["content"].array)
             yield out
 
     return cut
@@ -398,8 +468,8 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
 
     Each byte is removed that a LENGTH-byte string covers which also starts in a document with a smaller doc_id.
-    A null text is empty; texts under LENGTH bytes lose nothing; rows with the same id are one document and never
-    each other's reason; a row without an id is neither searched nor cut; an empty table gives an empty one; other
+    A null text is empty; texts under LENGTH bytes lose nothing; rows with the same id, of one text or of several, are
+    one document and never each other's reason; a row without an id is neither searched nor cut; an empty table gives an empty one; other
     columns are ignored. keep_text adds `kept`, the remaining bytes, null where nothing was removed.
 
     Copies of a whole text, after the first, go at once. What moves: about 12 bytes for each anchor, the texts once, the
@@ -407,31 +477,33 @@ def repeated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """
     spark = common.prepare(docs.sparkSession)
     texts = common.whole_texts(docs)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = texts.where("doc_id is not null")
-    content = F.xxhash64("text").alias("content")  # which places to look at; what is removed never depends on it
-    keyed = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), content)
-    first = keyed.where("doc_id is not null").groupBy("sha", "content").agg(F.min("doc_id").alias("rep"))
-
-    proposed = known.select(content, "text").mapInPandas(_propose(buckets), PROPOSED)
-    found = proposed.groupBy("bucket").applyInPandas(_repeating(buckets), PACKED)
-    gathered = found.groupBy("part").applyInPandas(_unpacked, "content long, pos binary")
-    places = gathered.join(first, "content").select(F.col("rep").alias("doc_id"), "pos")
-    suspects = common.settle(known.join(places.hint("shuffle_hash"), "doc_id"), codec="zstd")
-    runs = common.settle(suspects.mapInPandas(_emit, RUNS), codec="zstd")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.where("not sure").drop("sure", "strings").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    certain = runs.where("sure").select("doc_id", "first", F.expr("shiftleft(1L, strings) - 1").alias("mask"))
-    hits = dealt.mapInPandas(_compare, HITS).union(certain).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
-    schema = "doc_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    marked = suspects.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "text", "hits.first", "hits.mask")
-    cut = marked.mapInPandas(_cut(keep_text), schema).dropDuplicates(["doc_id"])
+    keyed = common.settle(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
+    first = common.settle(keyed.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    total, rows = keyed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    buckets = max(8, -(-total // BUCKET_BYTES))
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    proposed = known.select("text").mapInPandas(_propose(buckets), PROPOSED)
+    found = proposed.groupBy("bucket").applyInPandas(_repeating(parts), PACKED)
+    gathered = found.groupBy("part").applyInPandas(_unpacked, "content binary, pos binary")
+    content = lambda sha: F.substring(sha, 1, IDENTITY)
+    places = gathered.join(first.select(content("sha").alias("content"), F.col("rep").alias("doc_id")), "content")
+    met = known.join(places.hint("shuffle_hash"), "doc_id").where(content(F.unhex(F.sha2("text", 256))) == F.col("content"))
+    suspects = common.settle(met.select("doc_id", "content", F.monotonically_increasing_id().alias("row"), "text", "pos"), codec="zstd")
+    runs = common.settle(suspects.select("doc_id", "row", "text", "pos").mapInPandas(_emit, RUNS), codec="zstd")
+    certain = runs.where("sure").select("row", "first", F.expr("shiftleft(1L, strings) - 1").alias("mask"))
+    hits = _hits(runs.where("not sure").drop("sure", "strings"), parts).union(certain).groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
+    schema = "doc_id long, content binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    marked = suspects.select("doc_id", "content", "row", "text").join(hits, "row").select("doc_id", "content", "text", "hits.first", "hits.mask")
+    cut = marked.mapInPandas(_cut(keep_text), schema).dropDuplicates(["doc_id", "content"])
 
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= LENGTH)
-    out = keyed.drop("content").join(first.select("sha", "rep"), "sha", "left").join(cut, "doc_id", "left")
+    spread = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")  # shorter than a digest
+    out = common.join_groups(keyed, first, "sha", rows, spread).withColumn("content", content("sha")).join(cut, ["doc_id", "content"], "left")
     columns = [
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     ]
     return out.select("doc_id", "n_bytes", *columns, *([F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []))
