@@ -20,8 +20,8 @@ LENGTH = 2048
 END_ID = 1
 _SHIFT = np.int64(44)
 
-# For texts of these characters only, pre-tokens can be found here and looked up one by one; all others, and
-# those that hold a special token's string, go to the library whole.
+# For texts that are of these characters only, before and after they are lower-cased, pre-tokens can be found here and
+# looked up one by one; all others, and those that hold a special token's string, go to the library whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _PRETOKEN = re.compile("[a-zªµºß-öø-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 _WORD_END = "</w>"
@@ -68,12 +68,16 @@ class WordTokenizer:
         for w in missing:
             self.number[w] = len(self.number)
 
+    def _pretokens(self, text: str) -> list[str] | None:
+        low = text.lower()
+        if _OTHER.search(text) or not text.isascii() and _OTHER.search(low) or "<|" in text and any(s in text for s in self.special):
+            return None
+        return _PRETOKEN.findall(low)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > 600_000:
             self.reset()
-        parts: list[list[str] | None] = [
-            None if _OTHER.search(t) or "<|" in t and any(s in t for s in self.special) else _PRETOKEN.findall(t.lower()) for t in texts
-        ]
+        parts = [self._pretokens(t) for t in texts]
         missing = list(dict.fromkeys(w for p in parts if p for w in set(p) if w not in self.number))
         for i in range(0, len(missing), 50_000):
             self._learn(missing[i : i + 50_000])
