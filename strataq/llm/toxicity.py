@@ -1,7 +1,8 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 A linear score can't tell an insult beside a group's name from either alone; the machine adds a learned
-inner product for each pair of terms that a text holds.
+inner product for each pair of terms that a text holds. Its terms are those that the label speaks for or against, and,
+whatever the label says, all frequent ones, so that a term which tells something only beside another one is there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,13 @@ from strataq.llm import common
 
 #: Labelled rows that are learned from at most, those first by a hash of their ids.
 MAX_TRAIN = 20_000
-#: Terms that the machine has, by their association with the label.
-MAX_TERMS = 1_024
-FACTORS, EPOCHS, RATE, DECAY = 6, 120, 0.05, 1e-4
+#: Terms in this share of the rows at least are the machine's, whatever their association with the label.
+FREQUENT = 0.02
+#: Steps on the associated terms alone, then on all of them, with their rates.
+STEPS, ALL_STEPS = (120, 0.05), (15, 0.02)
+FACTORS, DECAY = 6, 1e-4
+#: What a term without association counts for, where a fully associated one counts 1.
+FLOOR = 0.1
 #: A word also counts as its first bytes, so that unseen forms of a seen root are met.
 PREFIX = 5
 
@@ -76,41 +82,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(bias, w, v, rows, cols, n):
-    sums = np.stack([np.bincount(rows, v[cols, f], n) for f in range(v.shape[1])], 1)
-    squares = np.bincount(rows, (v[cols] ** 2).sum(1), n)
-    return bias + np.bincount(rows, w[cols], n) + 0.5 * ((sums**2).sum(1) - squares), sums
+def _forward(bias, w, v, rows, cols, n, x=None):
+    """Scores of n rows whose terms are cols, each with the value x (1 if not given), and the sums of their factors."""
+    x = np.ones(len(cols)) if x is None else x
+    sums = np.stack([np.bincount(rows, v[cols, f] * x, n) for f in range(v.shape[1])], 1)
+    squares = np.bincount(rows, (v**2).sum(1)[cols] * x**2, n)
+    return bias + np.bincount(rows, w[cols] * x, n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit(active: list[np.ndarray], labels: np.ndarray, index: dict[int, int]) -> Model:
-    """Adam on the mean log loss; the same rows give the same model."""
+def fit(active: list[np.ndarray], labels: np.ndarray, index: dict[int, int], strength: np.ndarray, core: np.ndarray) -> Model:
+    """Adam on the mean log loss, first over the core terms, then over all; the same rows give the same model.
+
+    A term counts as its strength, which is folded into its weight and factors at the end.
+    """
     rng = np.random.default_rng(7)
     size, n = len(index), len(labels)
     rate = float(np.clip(labels.mean() if n else 0.05, 0.01, 0.4))
     w, v, b = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), np.log(rate / (1 - rate))
     if not n or not size or labels.min() == labels.max():
         return Model(index, float(b if not n or labels.min() < 1 else -b), w, v * 0)
-    rows = np.repeat(np.arange(n), [len(a) for a in active])
-    cols = np.concatenate(active)
-    m = [np.zeros_like(x) for x in (w, v)] + [0.0]
-    s = [np.zeros_like(x) for x in (w, v)] + [0.0]
-    for step in range(1, EPOCHS + 1):
-        out, sums = _forward(b, w, v, rows, cols, n)
-        g = (_sigmoid(out) - labels) / n * 10
-        gr = g[rows]
-        gw = np.bincount(cols, gr, size) + DECAY * w
-        gv = np.stack([np.bincount(cols, gr * (sums[rows, f] - v[cols, f]), size) for f in range(FACTORS)], 1) + DECAY * v
-        for i, grad in enumerate((gw, gv, g.sum())):
-            m[i] = 0.9 * m[i] + 0.1 * grad
-            s[i] = 0.99 * s[i] + 0.01 * grad**2
-            move = RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
-            if i == 0:
-                w = w - move
-            elif i == 1:
-                v = v - move
-            else:
-                b = b - move
-    return Model(index, float(b), w, v)
+    v[~core] *= 0.2
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(a) for a in active])
+    cols = np.concatenate(active).astype(np.int32)
+    mine = core[cols]
+    phases = [(*STEPS, core, rows[mine], cols[mine]), (*ALL_STEPS, np.ones(size, dtype=bool), rows, cols)]
+    for steps, pace, moving, rows, cols in phases:
+        x = strength[cols]
+        m, s = [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]
+        for step in range(1, steps + 1):
+            out, sums = _forward(b, w, v, rows, cols, n, x)
+            g = (_sigmoid(out) - labels) / n * 10
+            gx = g[rows] * x
+            gw = np.bincount(cols, gx, size) + DECAY * w
+            own = np.bincount(cols, gx * x, size)
+            gv = np.stack([np.bincount(cols, gx * sums[rows, f], size) for f in range(FACTORS)], 1) - own[:, None] * v + DECAY * v
+            for i, grad in enumerate((gw * moving, gv * moving[:, None], g.sum())):
+                m[i] = 0.9 * m[i] + 0.1 * grad
+                s[i] = 0.99 * s[i] + 0.01 * grad**2
+                move = pace * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
+                if i == 0:
+                    w = w - move
+                elif i == 1:
+                    v = v - move
+                else:
+                    b = b - move
+    return Model(index, float(b), w * strength, v * strength[:, None])
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN) -> Model:
@@ -118,7 +134,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = M
 
     Learns from max_train labelled rows at most; the sample of (doc_id, toxic), its size bounded by that
     parameter, is broadcast, so texts don't move. Terms are counted over the whole sample on the executors;
-    only the sums of terms that may be chosen, and the sample's chosen terms, reach the driver.
+    only the sums of chosen terms, and which row has which, reach the driver. Chosen are terms in FREQUENT of the
+    sample's rows, by that alone, and rarer ones in 3 rows or more with an association (|z| > 4, |log ratio| > 0.7); a
+    rare term that no label speaks for is none. Their number has no cap: it is bounded by the sample. A labelled row
+    without a text or an id is not learned from; of contrary labels of one id the higher counts.
     """
     spark = common.prepare(docs.sparkSession)
     sample = (
@@ -147,14 +166,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = M
     n = {r["toxic"]: r["count"] for r in totals}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        return fit([], np.array([1.0] * bool(n1)), {})
+        return fit([], np.array([1.0] * bool(n1)), {}, np.zeros(0), np.zeros(0, dtype=bool))
     a, b = F.col("n1") / n1, F.col("n0") / n0
     spread = (F.col("n1") + F.col("n0")) / (n0 + n1)
     z = (a - b) / F.sqrt(spread * (1 - spread) * (1 / n0 + 1 / n1) + 1e-12)
     ratio = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    chosen = counts.where(F.col("n0") + F.col("n1") >= 3).where(F.abs(z) > 4).where(F.abs(ratio) > 0.7)
-    picked = [r["term"] for r in chosen.orderBy(F.abs(z).desc(), "term").limit(MAX_TERMS).collect()]
-    index = {t: i for i, t in enumerate(sorted(picked))}
+    told = (F.col("n0") + F.col("n1") >= 3) & (F.abs(z) > 4) & (F.abs(ratio) > 0.7)
+    chosen = counts.where(told | (spread >= FREQUENT))
+    strength = F.least(F.lit(1.0), F.greatest(F.lit(FLOOR), F.abs(ratio) * z * z / (z * z + 16)))
+    picked = sorted(chosen.select("term", strength.alias("strength"), told.alias("told")).collect())
+    index = {r["term"]: i for i, r in enumerate(picked)}
     shared = spark.sparkContext.broadcast(index)
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,8 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = M
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "active": active_terms(pdf["text"].tolist(), known)})
 
-    rows = train.mapInPandas(reduce, "doc_id long, toxic int, active array<long>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(x, dtype=np.int64) for x in rows["active"]], rows["toxic"].to_numpy(float), index)
+    rows = train.mapInPandas(reduce, "doc_id long, toxic int, active array<int>").toPandas().sort_values("doc_id", kind="stable")
+    common.discard(sample, train)
+    weights, core = np.array([r["strength"] for r in picked]), np.array([r["told"] for r in picked], dtype=bool)
+    return fit([np.asarray(x, dtype=np.int32) for x in rows["active"]], rows["toxic"].to_numpy(float), index, weights, core)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
@@ -183,3 +206,21 @@ def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
 
     out = common.whole_texts(docs).mapInPandas(scan, "doc_id long, score double")
     return out.select("doc_id", (common.crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that the machine doesn't call toxic, with all their columns, as they are.
+
+    Rows are judged one by one, so rows without an id or with a repeated one are, too; a null text is judged as an empty
+    one. Nothing moves.
+    """
+    spark = common.prepare(docs.sparkSession)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(shared.value.index)
+        for batch in batches:
+            p = shared.value.score(active_terms([t or "" for t in batch.column(at).to_pylist()], known))
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
