@@ -1,6 +1,9 @@
 """Secrets through an inverted index of trigrams: rules become Boolean trigram queries, postings are intersected, candidates verified.
 
-DataFrame functions only. A rule whose pattern has no mandatory trigrams is verified on every text.
+DataFrame functions only. The index is a bitmap: a column of bits for each trigram of the rules, whose set bits are its
+postings, so that an intersection is an AND of columns. A document's bits are computed where its text is, and no text
+moves. write_index() stores the bitmap, which then says without the texts which documents to verify. A rule whose
+pattern has no mandatory trigrams is verified on every text.
 """
 
 from __future__ import annotations
@@ -98,75 +101,107 @@ QUERIES = {r.kind: trigram_query(r.pattern) for r in RULES}
 TRIGRAMS = sorted({t for q in QUERIES.values() if q for a in q for t in a})
 
 
+WORDS = -(-len(TRIGRAMS) // 62)  # columns of 62 bits
+
+
+def _bits(text: Column) -> list[Column]:
+    """What the bitmap holds of one document."""
+    low = F.lower(text)
+    held = [F.when(F.contains(low, F.lit(t)), F.lit(1 << (i % 62)).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(TRIGRAMS)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), held[62 * k : 62 * (k + 1)]).alias(f"m{k}") for k in range(WORDS)]
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """The inverted index (trigram, doc_id) of all texts, for the trigrams of the rules."""
-    held = F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(TRIGRAMS)])
-    low = common.whole_texts(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.lower("text").alias("low"))
-    return low.select(F.explode(F.array_compact(held)).alias("trigram"), "doc_id")
+    """The index as bitmaps: doc_id, m0, m1, ...; bit i % 62 of column i // 62 is set for the postings of trigram i."""
+    return common.whole_texts(docs).select("doc_id", *_bits(F.col("text")))
 
 
-def candidates(index: DataFrame) -> DataFrame:
-    """(doc_id, rules): bit r is set if the document is in the intersected postings of rule r."""
-    words = -(-len(TRIGRAMS) // 62)
-    sums = [F.bit_or(F.when(F.floor(F.col("trigram") / 62) == k, F.expr("shiftleft(1L, trigram % 62)")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)]
-    held = index.groupBy("doc_id").agg(*sums)
+def write_index(docs: DataFrame, path: str) -> None:
+    """Store the bitmap; new documents are appended."""
+    postings(docs).write.mode("append").parquet(path)
+
+
+def _rules(masks: list[Column]) -> Column:
+    """A bit for each rule whose query the intersected postings satisfy."""
 
     def all_of(alternative: frozenset[str]) -> Column:
-        masks = [0] * words
+        need = [0] * WORDS
         for t in alternative:
             i = TRIGRAMS.index(t)
-            masks[i // 62] |= 1 << (i % 62)
-        return reduce(lambda a, b: a & b, [F.col(f"m{k}").bitwiseAND(F.lit(m)) == m for k, m in enumerate(masks) if m])
+            need[i // 62] |= 1 << (i % 62)
+        return reduce(lambda a, b: a & b, [masks[k].bitwiseAND(F.lit(m).cast("long")) == m for k, m in enumerate(need) if m])
 
-    rules = []
+    bits = []
     for r, rule in enumerate(RULES):
-        q = QUERIES[rule.kind]
-        if q:
+        if q := QUERIES[rule.kind]:
             hit = reduce(lambda a, b: a | b, [all_of(a) for a in sorted(q, key=sorted)])
-            rules.append(F.when(hit, F.lit(1 << r)).otherwise(F.lit(0)))
-    return held.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), rules).alias("rules")).where("rules != 0")
+            bits.append(F.when(hit, F.lit(1 << r)).otherwise(F.lit(0)))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def candidates(index: DataFrame) -> DataFrame:
+    """(doc_id, rules) from a bitmap: bit r is set if the document is in the intersected postings of rule r; documents without a bit are left out."""
+    return index.select("doc_id", _rules([F.col(f"m{k}") for k in range(WORDS)]).alias("rules")).where("rules != 0")
+
+
+SPANS = "array<struct<start:long,rule:int,end:long,kind:string>>"
+#: Matches that are placed together; then whole blocks are placed, so that work is linear in a text's matches.
+BLOCK = 256
 
 
 def _spans(text: Column, r: int, rule: Rule) -> Column:
     """Spans of one rule: the pieces between its matches and the matches themselves give the places, in code points."""
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  f would evaluate value wherever it has it
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    kinds = "struct<at:long,spans:array<struct<start:long,rule:int,end:long,kind:string,ok:boolean>>>"
-    steps = F.zip_with(
-        F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), whole, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
-        counted,
-        lambda pm, g: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (F.length(g) >= rule.least).alias("ok")),
-    )
-    folded = F.aggregate(
-        steps,
-        F.from_json(F.lit('{"at":0,"spans":[]}'), kinds),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + x["m"]).alias("at"),
-            F.array_append(acc["spans"], F.struct((acc["at"] + x["p"]).alias("start"), F.lit(r).alias("rule"), (acc["at"] + x["p"] + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"), x["ok"].alias("ok"))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.filter(F.when(F.rlike(text, F.lit(rule.pattern)), folded).otherwise(F.array().cast("array<struct<start:long,rule:int,end:long,kind:string,ok:boolean>>")), lambda s: s["ok"])
+    paired = lambda whole: F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), whole, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("m")))
+    steps = F.zip_with(once(whole, paired), counted, lambda pm, g: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (F.length(g) >= rule.least).alias("ok"))) if rule.group else F.transform(once(whole, paired), lambda pm: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (pm["m"] >= rule.least).alias("ok")))
+    place = "struct<at:long,spans:array<struct<start:long,end:long,ok:boolean>>>"
+
+    def placed(block: Column) -> Column:
+        """Spans of a block as if it began the text, and its length."""
+        return F.aggregate(
+            block,
+            F.from_json(F.lit('{"at":0,"spans":[]}'), place),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["p"] + x["m"]).alias("at"),
+                F.array_append(acc["spans"], F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"), x["ok"].alias("ok"))).alias("spans"),
+            ),
+        )
+
+    def whole_text(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: placed(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
+        moved = F.aggregate(
+            blocks,
+            F.from_json(F.lit('{"at":0,"done":[]}'), "struct<at:long,done:array<array<struct<start:long,end:long,ok:boolean>>>>"),
+            lambda acc, b: F.struct(
+                (acc["at"] + b["at"]).alias("at"),
+                F.array_append(acc["done"], F.transform(b["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["ok"].alias("ok")))).alias("done"),
+            ),
+        )
+        good = F.filter(F.flatten(once(moved, lambda m: m["done"])), lambda s: s["ok"])
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(r).alias("rule"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+
+    return F.when(F.rlike(text, F.lit(rule.pattern)), once(steps, whole_text)).otherwise(F.array().cast(SPANS))
+
+
+def _marked(text: Column, rules: Column) -> Column:
+    """All spans of a text by the rules whose bits are set, and by those without trigrams."""
+    free = sum(1 << r for r, rule in enumerate(RULES) if not QUERIES[rule.kind])
+    parts = [F.when(rules.bitwiseOR(F.lit(free)).bitwiseAND(F.lit(1 << r)) != 0, _spans(text, r, rule)).otherwise(F.array().cast(SPANS)) for r, rule in enumerate(RULES)]
+    return F.sort_array(F.concat(*parts))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, spans (start, rule, end, kind) by start and kind, for every row of docs (doc_id, text).
 
-    A null or empty text has no spans. Repeated rows each give a row; a row without an id is verified by all
-    rules; an empty table gives an empty one; other columns are ignored. The index has a row for each
-    document and trigram of the rules that it holds, summed to one row a document before it moves.
+    A null or empty text has no spans. Repeated rows each give a row, and so do rows without an id or with another's;
+    an empty table gives an empty one; other columns are ignored. Nothing moves.
     """
     common.prepare(docs.sparkSession)
-    picked = candidates(postings(docs)).select(F.col("doc_id").alias("__id"), "rules")
-    texts = common.whole_texts(docs)
-    joined = texts.join(picked.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
-    every = sum(1 << r for r, rule in enumerate(RULES))
-    free = sum(1 << r for r, rule in enumerate(RULES) if not QUERIES[rule.kind])
-    rules = F.when(F.col("doc_id").isNull(), F.lit(every)).otherwise(F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(free)))
-    none = F.array().cast("array<struct<start:long,rule:int,end:long,kind:string,ok:boolean>>")
-    marked = joined.select("doc_id", "text", rules.alias("rules"))
-    parts = [F.when(F.col("rules").bitwiseAND(F.lit(1 << r)) != 0, _spans(F.col("text"), r, rule)).otherwise(none) for r, rule in enumerate(RULES)]
-    return marked.select("doc_id", F.sort_array(F.concat(*parts)).alias("spans"))
+    held = common.whole_texts(docs).select("doc_id", "text", *_bits(F.col("text")))
+    asked = held.select("doc_id", "text", _rules([F.col(f"m{k}") for k in range(WORDS)]).alias("rules"))
+    return asked.select("doc_id", _marked(F.col("text"), F.col("rules")).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -182,14 +217,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """The documents without a secret, with all their columns; rows without an id stay."""
-    bad = find(docs).where(F.size("spans") > 0).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
-
-
-def brute(text: str) -> list[tuple[str, int, int]]:
-    """What find() must give for one text, by the plain patterns."""
-    out = []
-    for r, rule in enumerate(RULES):
-        out += [(m.start(), r, m.end(), rule.kind) for m in re.finditer(rule.pattern, text) if len(m[rule.group]) >= rule.least]
-    return [(k, a, b) for a, _, b, k in sorted(out)]
+    """The rows without a secret, with all their columns, as they are; rows without an id or with a repeated one are judged like any other."""
+    common.prepare(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = [f"__bits_{k}" for k in range(WORDS)]
+    held = docs.select("*", *[b.alias(n) for b, n in zip(_bits(text), names, strict=True)])
+    marked = held.withColumn("__spans", _marked(text, _rules([F.col(n) for n in names])))
+    return marked.where(F.size("__spans") == 0).drop("__spans", *names)
