@@ -92,16 +92,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     cache: the folder of the cache, below spark.checkpoint.dir if not given. Each distinct content that it
     lacks for this tokenizer's version is encoded once and appended; all counts are then read from it.
     A null text counts as empty (0 bytes, 0 tokens). Repeated rows and copies each give a row; an empty
-    table gives an empty one; other columns are ignored. Texts move once, keyed by doc_id, which is even
-    however many copies one content has; what is keyed by content is a digest and an id.
+    table gives an empty one; rows without an id, and different texts of one id, are counted each for itself; other
+    columns are ignored. Texts move once, keyed by doc_id, which is even however many copies one content has; digests
+    that many rows have, a thousand at most, meet their counts in a broadcast, all others in a shuffle.
     """
     spark = common.prepare(docs.sparkSession)
     cache = cache or common.scratch(spark)
     ver = version(tokenizer)
     texts = common.whole_texts(docs)
     keyed = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("content"), F.octet_length("text").cast("long").alias("n_bytes"))
+    contents = common.settle(keyed.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"), F.count("*").alias("n")))
     stored = read_cache(spark, cache).where(F.col("version") == ver)
-    missing = keyed.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(stored, "content", "left_anti")
+    missing = contents.select("content", "doc_id").join(stored, "content", "left_anti")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(tokenizer, ranks)
@@ -113,4 +115,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     fresh = wanted.where(F.unhex(F.sha2("text", 256)) == F.col("content")).select("content", "text").mapInPandas(encode, CACHE)
     fresh.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("version") == ver).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    total = contents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spread = F.coalesce("doc_id", F.lit(-1)).cast("string").cast("binary")  # shorter than a digest
+    out = common.join_groups(keyed, contents.select("content", "n").join(counts, "content"), "content", total, spread)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
