@@ -31,8 +31,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+# Characters of an account number by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _DIGIT = re.compile(r"[0-9]")
 
 #: Score before and after a word of the kind's context within REACH characters; spans of added kinds need THRESHOLD.
@@ -63,6 +72,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _iban_end(text: str, start: int, length: int) -> int:
+    """Where a valid account number of that many characters ends, single spaces not counted; 0 if there is none."""
+    at, found = start, ""
+    while len(found) < length and at < len(text):
+        c = text[at]
+        if "A" <= c <= "Z" or "0" <= c <= "9":
+            found += c
+        elif c != " " or text[at - 1] == " ":
+            return 0
+        at += 1
+    follows = text[at : at + 1]
+    whole = length and len(found) == length and not (follows.isascii() and follows.isalnum())
+    return at if whole and mod97(found) else 0
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Same spans as the plain pattern's, found outward from each @."""
     end, at = 0, text.find("@")
@@ -102,8 +126,8 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
             if 9 <= len(_only_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
     for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+        if end := _iban_end(text, m.start(), IBAN_LENGTH.get(m[1], 0)):
+            yield "iban", m.start(), end
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 
