@@ -12,24 +12,22 @@ from strataq.llm import common, decontam, minhash, packing, secret_scan, toxicit
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine doesn't call toxic; it learns from their labels."""
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score(docs, model).where("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """Documents that the machine doesn't call toxic; it learns from their labels. Each row is judged, with or without an id."""
+    return toxicity.reject(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.deduplicate(docs)
+    """One document of each group of near-duplicates, by the sets and the threshold of op4; rows without an id stay."""
+    return minhash.deduplicate(docs, width=4)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no passage of the benchmark contaminates."""
+    """Documents in which no window of a benchmark item occurs; a single one is enough to go."""
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a secret."""
+    """Documents without a secret; each row is judged, with or without an id."""
     return secret_scan.remove(docs)
 
 
@@ -49,9 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again by the next."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again by the next.
+
+    Null and empty texts pass all filters and are packed as the end mark alone; repeated rows are judged and, but for
+    near-duplicates, kept each for itself; an empty table gives an empty one. What a stage wrote goes when the next has written.
+    """
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = common.settle(stage(spark, docs, sf_dir))
+        before, docs = docs, common.settle(stage(spark, docs, sf_dir))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
