@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -43,6 +44,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """In a Python worker: give freed memory back to the system. Workers live on from one stage to the next."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Where that is unset, a local folder serves one-machine sessions; on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -268,6 +268,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
         shared = spark.sparkContext.broadcast(tests)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
+            common.trim()
             for batch in batches:
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array([not f.n_hit for f in _scan(texts, shared.value)], pa.bool_()))

@@ -56,6 +56,7 @@ def shingles(text: str, width: int, hashes: dict) -> np.ndarray:
 
 def _scan(docs: DataFrame, schema: str, row, width: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.trim()
         hashes = _Hashes()
         for pdf in batches:
             if len(hashes) > 400_000:

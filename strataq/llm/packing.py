@@ -18,6 +18,8 @@ from strataq.llm import common
 
 LENGTH = 2048
 END_ID = 1
+#: Words whose ids a worker keeps.
+MOST_WORDS = 600_000
 _SHIFT = np.int64(44)
 
 # For texts that are of these characters only, before and after they are lower-cased, pre-tokens can be found here and
@@ -75,7 +77,7 @@ class WordTokenizer:
         return _PRETOKEN.findall(low)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > 600_000:
+        if len(self.number) > MOST_WORDS:
             self.reset()
         parts = [self._pretokens(t) for t in texts]
         missing = list(dict.fromkeys(w for p in parts if p for w in set(p) if w not in self.number))
@@ -193,6 +195,8 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer.cache_clear()  # a worker of the first stage has no more use for it
+        common.trim()
         keys, rows = shared.value
         for pdf in batches:
             rank = pdf["rank"].to_numpy(np.int64)

@@ -218,6 +218,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         known = _Known(shared.value.index)
         for batch in batches:
             p = shared.value.score(active_terms([t or "" for t in batch.column(at).to_pylist()], known))
