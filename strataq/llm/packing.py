@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +23,10 @@ END_ID = 1
 MOST_WORDS = 600_000
 _SHIFT = np.int64(44)
 
-# For texts that are of these characters only, before and after they are lower-cased, pre-tokens can be found here and
-# looked up one by one; all others, and those that hold a special token's string, go to the library whole.
+# For texts that are of these characters only when lower-cased, pre-tokens can be found here and looked up one by one; all
+# others, those with a letter from elsewhere whose lower case is among these characters, and those that hold a special
+# token's string go to the library whole.
+_FROM_ELSEWHERE = "\u1e9e\u212a\u212b\u2c7e\u2c7f"
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _PRETOKEN = re.compile("[a-zªµºß-öø-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 _WORD_END = "</w>"
@@ -72,7 +75,7 @@ class WordTokenizer:
 
     def _pretokens(self, text: str) -> list[str] | None:
         low = text.lower()
-        if _OTHER.search(text) or not text.isascii() and _OTHER.search(low) or "<|" in text and any(s in text for s in self.special):
+        if _OTHER.search(low) or any(c in text for c in _FROM_ELSEWHERE) or "<|" in text and any(s in text for s in self.special):
             return None
         return _PRETOKEN.findall(low)
 
@@ -80,15 +83,18 @@ class WordTokenizer:
         if len(self.number) > MOST_WORDS:
             self.reset()
         parts = [self._pretokens(t) for t in texts]
-        missing = list(dict.fromkeys(w for p in parts if p for w in set(p) if w not in self.number))
+        found = [None if p is None else np.fromiter(map(self.number.get, p, repeat(-1)), np.int64, len(p)) for p in parts]
+        new = [(p, w, np.flatnonzero(w < 0).tolist()) for p, w in zip(parts, found, strict=True) if p and w.min() < 0]
+        missing = list(dict.fromkeys(p[k] for p, _, at in new for k in at))
         for i in range(0, len(missing), 50_000):
             self._learn(missing[i : i + 50_000])
+        for p, w, at in new:
+            w[at] = [self.number[p[k]] for k in at]
         out = []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
+        for t, words in zip(texts, found, strict=True):
+            if words is None:
                 out.append(self.whole(t))
                 continue
-            words = np.fromiter(map(self.number.__getitem__, p), np.int64, len(p))
             n = self.size[words]
             out.append(self.flat[np.repeat(self.start[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return out

@@ -33,6 +33,13 @@ def test_packing_ids_are_the_library_s():
         assert ids.tolist() == want.ids, repr(t)
 
 
+def test_letters_from_elsewhere():
+    """All characters that leave the fast path's set only by being lower-cased into it."""
+    inside = lambda t: not packing._OTHER.search(t)
+    elsewhere = {chr(c) for c in range(0x110000) if not inside(chr(c)) and inside(chr(c).lower())}
+    assert elsewhere == set(packing._FROM_ELSEWHERE)
+
+
 def test_counts_are_the_library_s():
     path = public_tokenizers.path
     lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
