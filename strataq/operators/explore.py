@@ -53,11 +53,13 @@ def dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("module_id", F.coalesce("imports", F.lit("")).alias("imports"), F.coalesce("imported_by", F.lit("")).alias("imported_by"))
 
 
-def graph_inspect(edges: DataFrame) -> DataFrame:
-    """Edges of every node by direction and type, with the first and last neighbour."""
+def graph_inspect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every node with its attributes and, for each direction and type of its edges, their number and all neighbours, sorted. A node without edges has one row."""
     ends = F.array(F.struct(F.col("src").alias("node_id"), F.lit("out").alias("direction"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.lit("in").alias("direction"), F.col("src").alias("other")))
     flat = edges.select("type", F.explode(ends).alias("e")).select("type", "e.*")
-    return flat.groupBy("node_id", "direction", "type").agg(F.count("*").alias("n"), F.min("other").alias("first_other"), F.max("other").alias("last_other"))
+    own = flat.join(nodes.select("node_id"), "node_id", "left_semi")
+    listed = own.groupBy("node_id", "direction", "type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("other")).alias("others"))
+    return nodes.select("node_id", "kind", "name", "start_line", "end_line").join(listed, "node_id", "left")
 
 
 def largest_modules(nodes: DataFrame, k: int = 5) -> DataFrame:
@@ -116,6 +118,15 @@ def health(checks: DataFrame) -> DataFrame:
     return checks.withColumn("status", state)
 
 
+def roll_up(checks: DataFrame) -> DataFrame:
+    """failures, indexed, stale from check rows (check, state)."""
+    return checks.agg(
+        F.count_if(F.col("state") == "failed").cast("int").alias("failures"),
+        F.coalesce(F.bool_or((F.col("check") == "Repository") & (F.col("state") == "ok")), F.lit(False)).alias("indexed"),
+        F.coalesce(F.bool_or((F.col("check") == "Freshness") & (F.col("state") == "warning")), F.lit(False)).alias("stale"),
+    )
+
+
 def last_turns(turns: DataFrame, k: int = 4) -> DataFrame:
     """The last k turns of every conversation, oldest first by position."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))

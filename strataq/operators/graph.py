@@ -18,10 +18,10 @@ def nodes(modules: DataFrame) -> DataFrame:
 
 
 def edges(modules: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """src, dst, type: contains, inherits, imports, calls."""
+    """src, dst, type, pos: contains, inherits, imports, calls; pos: a base's place among those declared, null for other types."""
     of = of if of is not None else nodes(modules)
     keys = resolve.module_keys(modules.select(F.col("relative_path").alias("path")))
-    typed = lambda df, t: df.select("src", "dst", F.lit(t).alias("type"))
+    typed = lambda df, t: df.select("src", "dst", F.lit(t).alias("type"), (F.col("pos") if "pos" in df.columns else F.lit(None)).cast("int").alias("pos"))
     contains = of.where("kind <> 'module'").select(F.coalesce("parent_id", "relative_path").alias("src"), F.col("node_id").alias("dst"))
     imports = parse.imports(modules)
     calls = resolve.call_edges(parse.functions(modules), parse.call_sites(modules), imports, keys)

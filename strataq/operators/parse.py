@@ -53,11 +53,16 @@ def parse_module(path: str, content: bytes | str | None) -> dict:
     """Top-level symbols of one file; a file that can't be read has none, and says why in parse_error."""
     out = {"relative_path": path, "parse_error": None, "classes": [], "functions": [], "imports": []}
     try:
-        text = content if isinstance(content, str) else (content or b"").decode()
-        tree, source = ast.parse(text), _Source(text)
+        text = content.removeprefix("\ufeff") if isinstance(content, str) else (content or b"").decode("utf-8-sig")
+        text = text.replace("\r\n", "\n").replace("\r", "\n")  # the parser ends lines at all three
+        return out | _symbols(path, ast.parse(text), _Source(text))
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return out | {"parse_error": f"{type(e).__name__}: {e}"}
 
+
+def _symbols(path: str, tree: ast.Module, source: _Source) -> dict:
+    out = {"classes": [], "functions": [], "imports": []}
+
     def function(node, owner: dict | None) -> dict:
         name = f"{owner['name']}.{node.name}" if owner else node.name
         return {"id": f"{path}::{name}", "name": node.name, "start_line": node.lineno, "end_line": node.end_lineno, "parent_id": owner and owner["id"], "is_method": bool(owner), "calls": _calls(node.body, source)}

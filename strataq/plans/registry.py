@@ -16,11 +16,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str, **extra: str) -> Callable[[Callable], Callable]:
-    """Register a function of a loader of relations, under its own name, with its oracle."""
+def query(oracle: str, settled: tuple[str, ...] = (), **extra: str) -> Callable[[Callable], Callable]:
+    """Register a function of a loader of relations, under its own name, with its oracle. settled: relations that it reads more than once."""
 
     def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: adapter.relation(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(adapter.relations(spark, sf_dir, settled))
         ORACLES[f.__name__] = adapter.statement(oracle, "duckdb", extra=extra)
         return f
 
@@ -71,10 +71,10 @@ def dependencies(t):
     return explore.dependencies(t("nodes"), t("edges"))
 
 
-@query("""SELECT node_id, direction, type, count(*) AS n, min(other) AS first_other, max(other) AS last_other FROM (
-    SELECT src AS node_id, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges) GROUP BY ALL""")
+@query("""SELECT n.node_id, n.kind, n.name, n.start_line, n.end_line, direction, type, x.n, others FROM nodes n LEFT JOIN (SELECT node_id, direction, type, count(*) AS n, string_agg(other, ',' ORDER BY other) AS others FROM (
+    SELECT src AS node_id, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges) GROUP BY ALL) x ON x.node_id = n.node_id""", ("meth", "nodes"))
 def graph_inspect(t):
-    return explore.graph_inspect(t("edges"))
+    return explore.graph_inspect(t("nodes"), t("edges")).withColumn("others", F.array_join("others", ","))
 
 
 @query("SELECT relative_path, count(*) AS n FROM nodes WHERE kind <> 'module' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
@@ -172,12 +172,12 @@ TARGETS = KEYS | {
 }
 
 
-@query("SELECT * FROM found", **TARGETS)
+@query("SELECT * FROM found", ("py", "paths", "imports_in"), **TARGETS)
 def resolve_imports(t):
     return resolve.import_targets(t("imports_in"), resolve.module_keys(t("paths")))
 
 
-@query("SELECT DISTINCT source_path AS src, target AS dst FROM found WHERE target IS NOT NULL AND target <> source_path", **TARGETS)
+@query("SELECT DISTINCT source_path AS src, target AS dst FROM found WHERE target IS NOT NULL AND target <> source_path", ("py", "paths", "imports_in"), **TARGETS)
 def import_edges(t):
     return resolve.import_edges(t("imports_in"), resolve.module_keys(t("paths")))
 
@@ -201,6 +201,7 @@ CALLS = TARGETS | {
     UNION ALL SELECT function_id, function_id FROM fns WHERE is_method
     UNION ALL SELECT i.source_path || '::f0', f.function_id FROM imports_in i JOIN any_ a ON a.module = i.module JOIN fns f ON f.relative_path = a.target AND f.name = 'f1'
       WHERE i.level = 0 AND i.source_path IN (SELECT path FROM paths)) WHERE dst IS NOT NULL""",
+    ("py", "paths", "imports_in"),
     **CALLS,
 )
 def resolve_calls(t):
@@ -216,7 +217,7 @@ def resolve_calls(t):
     return resolve.call_edges(fns, sites, bound, resolve.module_keys(paths))
 
 
-@query("SELECT src AS class_id, min(dst) AS base_id FROM edges WHERE type = 'inherits' GROUP BY 1")
+@query("SELECT src AS class_id, arg_min(dst, pos) AS base_id FROM edges WHERE type = 'inherits' GROUP BY 1")
 def inherits_first_base(t):
     return resolve.first_base(t("edges"))
 
@@ -244,51 +245,41 @@ def bfs_called_by(t):
     return expand.bfs_calls(t("edges"), _functions(t), reverse=True)
 
 
-#: Methods whose name ends in 7 stand for the hits of a search.
-def _hits(t):
-    return t("nodes").where("kind = 'function' AND is_method AND name LIKE '%7'").select(F.col("node_id").alias("start"))
+_SHOWN = "{0}.name || ' (lines ' || {0}.start_line || '-' || {0}.end_line || ')'"
+SIBLINGS = f"SELECT a.node_id AS start, string_agg({_SHOWN.format('b')}, ',' ORDER BY b.start_line, b.node_id) AS siblings FROM owned a JOIN owned b ON a.owner = b.owner AND a.node_id <> b.node_id GROUP BY 1"
+OWNED = "SELECT node_id, name, start_line, end_line, coalesce(parent_id, relative_path) AS owner FROM nodes WHERE kind = 'function'"
 
 
-SIBLINGS = "SELECT a.node_id AS start, string_agg(b.name, ',' ORDER BY b.start_line, b.node_id) AS siblings FROM owned a JOIN owned b ON a.owner = b.owner AND a.node_id <> b.node_id WHERE a.is_method AND a.name LIKE '%7' GROUP BY 1"
-OWNED = "SELECT node_id, name, start_line, is_method, coalesce(parent_id, relative_path) AS owner FROM nodes WHERE kind = 'function'"
+def _joined(symbols):
+    return F.array_join(F.transform(symbols, expand.shown), ",")
 
 
-@query("SELECT * FROM sib", owned=OWNED, sib=SIBLINGS)
+@query("SELECT * FROM sib", ("nodes",), owned=OWNED, sib=SIBLINGS)
 def siblings(t):
-    return expand.siblings(t("nodes"), _hits(t)).select("start", F.array_join("siblings", ",").alias("siblings"))
+    return expand.siblings(t("nodes"), _functions(t)).select("start", _joined("siblings").alias("siblings"))
 
 
 _fwd, _rev = ({f"{p}_{k}": v.replace("FROM one", f"FROM {p}_one").replace("JOIN one", f"JOIN {p}_one").replace("FROM two", f"FROM {p}_two").replace("FROM near", f"FROM {p}_near") for k, v in _bfs_sql(*ab).items()} for p, ab in (("fw", ("src", "dst")), ("bw", ("dst", "src"))))
-_EXPAND = """SELECT n.node_id AS start, p.name AS parent, b.name AS base_class, s.siblings,
-    (SELECT string_agg(m.name, ',' ORDER BY r.rank) FROM fw_ranked r JOIN nodes m ON m.node_id = r.node_id WHERE r.start = n.node_id AND r.rank <= 10) AS calls,
-    (SELECT string_agg(m.name, ',' ORDER BY r.rank) FROM bw_ranked r JOIN nodes m ON m.node_id = r.node_id WHERE r.start = n.node_id AND r.rank <= 10) AS called_by
-    FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id LEFT JOIN (SELECT src, min(dst) AS dst FROM edges WHERE type = 'inherits' GROUP BY 1) i ON i.src = n.parent_id
-    LEFT JOIN nodes b ON b.node_id = i.dst LEFT JOIN sib s ON s.start = n.node_id WHERE n.is_method AND n.name LIKE '%7'"""
+_LIST = f"SELECT r.start, string_agg({_SHOWN.format('m')}, ',' ORDER BY r.rank) AS x FROM {{}}_ranked r JOIN nodes m ON m.node_id = r.node_id WHERE r.rank <= 10 GROUP BY 1"
+_EXPAND = f"""SELECT n.node_id AS start, {_SHOWN.format('p')} AS parent, {_SHOWN.format('b')} AS base_class, s.siblings, fl.x AS calls, bl.x AS called_by
+    FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id LEFT JOIN (SELECT src, arg_min(dst, pos) AS dst FROM edges WHERE type = 'inherits' GROUP BY 1) i ON i.src = n.parent_id
+    LEFT JOIN nodes b ON b.node_id = i.dst LEFT JOIN sib s ON s.start = n.node_id LEFT JOIN fl ON fl.start = n.node_id LEFT JOIN bl ON bl.start = n.node_id WHERE n.kind = 'function'"""
 
 
-@query(_EXPAND, owned=OWNED, sib=SIBLINGS, **_fwd, **_rev)
+@query(_EXPAND, ("meth", "nodes", "edges"), owned=OWNED, sib=SIBLINGS, **_fwd, **_rev, fl=_LIST.format("fw"), bl=_LIST.format("bw"))
 def expand_hits(t):
-    return expand.expand(t("nodes"), t("edges"), _hits(t))
+    """Every function and method, with what lies around it."""
+    out = expand.expand(t("nodes"), t("edges"), _functions(t))
+    return out.select("start", *[expand.shown(F.col(c)).alias(c) for c in ("parent", "base_class")], *[_joined(c).alias(c) for c in ("siblings", "calls", "called_by")])
 
 
-_ALL_SIBLINGS = "SELECT a.node_id AS start, string_agg(b.name, ',' ORDER BY b.start_line, b.node_id) AS siblings FROM owned a JOIN owned b ON a.owner = b.owner AND a.node_id <> b.node_id GROUP BY 1"
-_ALL_EXPANDED = _EXPAND.replace("n.is_method AND n.name LIKE '%7'", "n.kind = 'function'")
+@query("SELECT dst AS node_id, min(src) AS owner, count(*) AS n FROM edges WHERE type = 'contains' GROUP BY 1", ("nodes",))
+def owners(t):
+    return expand.owners(t("nodes"), t("edges"))
 
 
-@query("SELECT * FROM sib", owned=OWNED, sib=_ALL_SIBLINGS)
-def siblings_all(t):
-    """As siblings, with every function and method as a hit."""
-    return expand.siblings(t("nodes"), _functions(t)).select("start", F.array_join("siblings", ",").alias("siblings"))
-
-
-@query(_ALL_EXPANDED, owned=OWNED, sib=_ALL_SIBLINGS, **_fwd, **_rev)
-def expand_all(t):
-    """As expand_hits, with every function and method as a hit."""
-    return expand.expand(t("nodes"), t("edges"), _functions(t))
-
-
-_TOPK = """SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+_TOPK = """SELECT query_id, vec_id, round(raw, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
     FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 {})) WHERE rank <= 5"""
 
 
@@ -307,62 +298,49 @@ def vector_topk_per_repo(t):
     return retrieve.vector_topk(*_vectors(t), same_repo=True)
 
 
-QUESTIONS = [(0, "where is f12 defined?"), (1, "How does Red Small_7 work"), (2, "  "), (3, "blue"), (4, "show implementation of S3.x"), (5, "zzzz qqqq")]
-_MATCH = """SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(place, 0), node_id) AS INT) AS rank FROM (
-    SELECT query_id, node_id, low, q, list_min([strpos(low, w) - 1 FOR w IN words IF contains(low, w)]) AS place, words
-    FROM (SELECT node_id, lower(name) AS low FROM nodes WHERE kind = 'function'), (SELECT query_id, lower(trim(query)) AS q, string_split_regex(lower(trim(query)), '\\s+') AS words FROM questions WHERE trim(query) <> ''))
+# A vector that is a query asks about the part whose key is its number, modulo their count: its method's name between
+# other words, padded with white space of several kinds, or blank.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_ASKED = """SELECT CAST(vec_id AS INT) AS query_id, CASE (vec_id // 20) % 5 WHEN 0 THEN 'Does ' || name || ' work?' WHEN 1 THEN chr(9) || name || chr(10) WHEN 2 THEN ' ' || chr(9) WHEN 3 THEN 'zzzz' || chr(160) || name ELSE 'in (' || name || ')' END AS query
+    FROM (SELECT vec_id, upper(replace(p_name, ' ', '_')) || '_' || CAST(p_partkey AS VARCHAR) AS name FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM part) k JOIN part ON p_partkey = vec_id % k.n WHERE vec_id % 20 = 0)"""
+_MATCH = f"""SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(place, 0), node_id) AS INT) AS rank FROM (
+    SELECT query_id, node_id, low, q, list_min([strpos(low, w) - 1 FOR w IN words IF w <> '' AND contains(low, w)]) AS place
+    FROM (SELECT node_id, lower(name) AS low FROM nodes WHERE kind = 'function'), (SELECT query_id, lower(query) AS q, string_split_regex(lower(query), '{_SPACE}') AS words FROM questions))
     WHERE place IS NOT NULL OR contains(q, low)"""
-_QUESTIONS = f"SELECT * FROM (VALUES {_listed(QUESTIONS)}) v(query_id, query)"
 
 
 def _questions(t):
-    return _values(t("region").sparkSession, QUESTIONS, "query_id int, query string")
-
-
-@query("SELECT * FROM matched", questions=_QUESTIONS, matched=_MATCH)
+    part, v = t("part"), t("embeddings").where("vec_id % 20 = 0")
+    keyed = v.join(F.broadcast(part.agg(F.count("*").alias("n")))).select("vec_id", (F.col("vec_id") % F.col("n")).alias("p_partkey"))  # one row
+    name = F.concat(F.upper(F.translate("p_name", " ", "_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    kind = F.floor(F.col("vec_id") / 20) % 5
+    asked = (
+        F.when(kind == 0, F.concat(F.lit("Does "), name, F.lit(" work?"))).when(kind == 1, F.concat(F.lit("\t"), name, F.lit("\n"))).when(kind == 2, F.lit(" \t"))
+        .when(kind == 3, F.concat(F.lit("zzzz\u00a0"), name)).otherwise(F.concat(F.lit("in ("), name, F.lit(")")))
+    )
+    return keyed.join(part, "p_partkey").select(F.col("vec_id").cast("int").alias("query_id"), asked.alias("query"))
+
+
+@query("SELECT * FROM matched", questions=_ASKED, matched=_MATCH)
 def lexical_match(t):
     return retrieve.lexical_match(t("nodes"), _questions(t))
 
 
 _LISTS = {
-    "vec": f"SELECT CAST(query_id // 20 AS INT) AS query_id, 'v' || CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_TOPK.format('')}) WHERE query_id < 100",
-    "both": "SELECT *, 0 AS src FROM vec UNION ALL SELECT query_id, node_id, rank, 1 FROM matched WHERE rank <= 5",
-    "single": "SELECT query_id, chunk_id, min(rank * 2 + src) AS place FROM both GROUP BY 1, 2",
+    "vec": f"SELECT CAST(query_id AS INT) AS query_id, 'v' || CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_TOPK.format('')})",
+    "lists": "SELECT *, 0 AS src FROM vec UNION ALL SELECT query_id, node_id, rank, 1 FROM matched WHERE rank <= 5",
+    "single": "SELECT query_id, chunk_id, min(rank * 2 + src) AS place FROM lists GROUP BY 1, 2",
 }
 
 
-@query("SELECT query_id, chunk_id, CASE WHEN place % 2 = 0 THEN 'vector' ELSE 'name' END AS origin, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM single) WHERE rank <= 5", questions=_QUESTIONS, matched=_MATCH, **{k.replace("both", "lists"): v.replace("FROM both", "FROM lists") for k, v in _LISTS.items()})
+@query("SELECT query_id, chunk_id, CASE WHEN place % 2 = 0 THEN 'vector' ELSE 'name' END AS origin, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM single) WHERE rank <= 5", questions=_ASKED, matched=_MATCH, **_LISTS)
 def hybrid_search(t):
-    """Queries 0 to 4: the vectors 0, 20, .. 80 beside the questions with those numbers."""
-    v, q = _vectors(t)
-    by_vector = retrieve.vector_topk(v, q.where("query_id < 100")).select((F.col("query_id") / 20).cast("int").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "rank")
+    """Every vector that vector_topk takes as a query, beside its question."""
+    by_vector = retrieve.vector_topk(*_vectors(t)).select(F.col("query_id").cast("int").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "rank")
     by_name = retrieve.lexical_match(t("nodes"), _questions(t)).select("query_id", F.col("node_id").alias("chunk_id"), "rank")
     return retrieve.hybrid(by_vector, by_name)
 
 
-# The question of a vector is about the part whose key is its number, modulo their count.
-_ASKED = """SELECT CAST(vec_id AS INT) AS query_id, 'How does ' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || ' work' AS query
-    FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM part) k JOIN part ON p_partkey = vec_id % k.n WHERE vec_id % 20 = 0"""
-_ALL_LISTS = {
-    "vec": f"SELECT CAST(query_id AS INT) AS query_id, 'v' || CAST(vec_id AS VARCHAR) AS chunk_id, rank FROM ({_TOPK.format('')})",
-    "lists": _LISTS["both"],
-    "single": _LISTS["single"].replace("FROM both", "FROM lists"),
-}
-
-
-@query("SELECT query_id, chunk_id, CASE WHEN place % 2 = 0 THEN 'vector' ELSE 'name' END AS origin, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM single) WHERE rank <= 5", questions=_ASKED, matched=_MATCH, **_ALL_LISTS)
-def hybrid_search_all(t):
-    """As hybrid_search, for every vector that vector_topk takes as a query, beside a question about a part."""
-    v, q = _vectors(t)
-    by_vector = retrieve.vector_topk(v, q).select(F.col("query_id").cast("int").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "rank")
-    part = t("part")
-    keyed = q.crossJoin(part.agg(F.count("*").alias("n"))).select(F.col("query_id").cast("int").alias("query_id"), (F.col("query_id") % F.col("n")).alias("p_partkey"))
-    name = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"))
-    asked = keyed.join(part, "p_partkey").select("query_id", F.concat(F.lit("How does "), name, F.lit(" work")).alias("query"))
-    by_name = retrieve.lexical_match(t("nodes"), asked).select("query_id", F.col("node_id").alias("chunk_id"), "rank")
-    return retrieve.hybrid(by_vector, by_name)
-
-
 @query("""SELECT s.symbol, n.node_id FROM (SELECT name AS symbol, NULL AS owner, name FROM nodes WHERE kind <> 'module' GROUP BY 1, 3
     UNION ALL SELECT p.name || '.' || m.name, p.name, m.name FROM nodes m JOIN nodes p ON p.node_id = m.parent_id GROUP BY 1, 2, 3) s
     JOIN nodes n ON n.name = s.name AND n.kind <> 'module' LEFT JOIN nodes p ON p.node_id = n.parent_id WHERE s.owner IS NULL OR (n.is_method AND p.name = s.owner)""")
@@ -372,12 +350,20 @@ def symbol_lookup(t):
     return retrieve.symbol_lookup(t("nodes"), t("nodes").where("kind <> 'module'").select(F.col("name").alias("symbol")).union(listed).distinct())
 
 
-_ROUTES = [("Where is Foo.Bar defined?", "definition", "Foo.Bar"), ("where is x", "definition", "x"), ("show me the implementation of A.b ?", "implementation", "A.b"), ("SHOW IMPLEMENTATION OF Q", "implementation", "Q"), ("where is defined?", None, None), ("what is this", None, None)]
+# Every class and function is asked for in one of eight ways.
+_WAYS = [("Where is ", " defined?", "definition"), ("\twhere is ", "\n", "definition"), ("show me the implementation of ", " ?", "implementation"), (" SHOW IMPLEMENTATION OF ", "??", "implementation"),
+         ("where is ", "", "definition"), ("what is ", "", None), ("please show implementation of ", "", None), ("WHERE IS ", " Defined", "definition")]
+_WAY = " UNION ALL ".join(f"SELECT {i} AS way, '{a.strip()}' AS prefix, '{a.encode().hex()}' AS before, '{b.encode().hex()}' AS after, {repr(k) if k else 'NULL'} AS kind" for i, (a, b, k) in enumerate(_WAYS))
 
 
-@query(f"SELECT * FROM (VALUES {_listed(_ROUTES)}) v(query, nav_type, symbol)")
+@query(f"""SELECT decode(unhex(before)) || name || decode(unhex(after)) AS query, kind AS nav_type, CASE WHEN kind IS NOT NULL THEN name END AS symbol
+    FROM (SELECT DISTINCT name, (length(name) + ascii(right(name, 1))) % 8 AS way FROM nodes WHERE kind <> 'module') JOIN ({_WAY}) USING (way)""")
 def route_queries(t):
-    q = _values(t("region").sparkSession, [(r[0],) for r in _ROUTES], "query string")
+    names = t("nodes").where("kind <> 'module'").select("name", ((F.length("name") + F.ascii(F.right("name", F.lit(1)))) % 8).alias("way")).distinct()
+    asked = F.lit(None).cast("string")
+    for i, (before, after, _) in enumerate(_WAYS):
+        asked = F.when(F.col("way") == i, F.concat(F.lit(before), "name", F.lit(after))).otherwise(asked)
+    q = names.select(asked.alias("query"))
     return q.select("query", retrieve.route(F.col("query")).alias("r")).select("query", "r.nav_type", "r.symbol")
 
 
@@ -441,15 +427,16 @@ _HISTORY = "SELECT conv_id, string_agg('User:' || chr(10) || question || chr(10)
 
 
 @query(f"""SELECT p.node_id AS query_id, concat_ws(chr(10) || chr(10), '{chunk.INSTRUCTIONS}', '=== Conversation History ===' || chr(10) || chr(10) || h, 'User question:' || chr(10) || 'about ' || p.name,
-    '=== Retrieved Symbol 1 ===', 'Source: ' || p.relative_path || ':' || p.start_line || '-' || p.end_line, 'body', 'Parent class:' || chr(10) || c.name) AS prompt
-    FROM nodes p JOIN nodes c ON c.node_id = p.parent_id LEFT JOIN hist ON conv_id = p.start_line WHERE p.is_method""", hist=_HISTORY)
+    '=== Retrieved Symbol 1 ===', 'Source: ' || p.relative_path || ':' || p.start_line || '-' || p.end_line, 'body', 'Parent class:' || chr(10) || x.parent, 'Base class:' || chr(10) || x.base_class,
+    'Sibling methods:' || chr(10) || '- ' || replace(x.siblings, ',', chr(10) || '- '), 'Calls:' || chr(10) || '- ' || replace(x.calls, ',', chr(10) || '- '), 'Called by:' || chr(10) || '- ' || replace(x.called_by, ',', chr(10) || '- ')) AS prompt
+    FROM nodes p JOIN around x ON x.start = p.node_id LEFT JOIN hist ON conv_id = p.start_line WHERE p.is_method""", ("meth", "nodes", "edges"), hist=_HISTORY, owned=OWNED, sib=SIBLINGS, **_fwd, **_rev, fl=_LIST.format("fw"), bl=_LIST.format("bw"), around=_EXPAND)
 def prompt_text(t):
     """A prompt for every method, with the history of the conversation whose number is its first line."""
     past = chunk.history_block(explore.last_turns(t("turns")))
-    parents = t("nodes").where("kind = 'class'").select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
     none = F.lit(None).cast("string")
-    m = t("nodes").where("is_method").join(parents, "parent_id")
-    hits = m.select(F.col("node_id").alias("query_id"), F.lit(1).alias("rank"), "relative_path", "start_line", "end_line", F.lit("body").alias("content"), "parent", *[none.alias(c) for c in ("base_class", "siblings", "calls", "called_by")])
+    m = t("nodes").where("is_method")
+    around = expand.expand(t("nodes"), t("edges"), m.select(F.col("node_id").alias("start"))).withColumnRenamed("start", "node_id")
+    hits = m.join(around, "node_id").select(F.col("node_id").alias("query_id"), F.lit(1).alias("rank"), "relative_path", "start_line", "end_line", F.lit("body").alias("content"), *[c for c in around.columns if c != "node_id"])
     asked = m.join(past, F.col("conv_id") == F.col("start_line"), "left").select(F.col("node_id").alias("query_id"), F.concat(F.lit("about "), "name").alias("query"), none.alias("overview"), "history")
     return chunk.prompts(asked, chunk.symbol_block(hits))
 

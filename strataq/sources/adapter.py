@@ -6,9 +6,12 @@ One SQL text serves Spark and DuckDB. HASH256(x) and BYTES(x) stand for each eng
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataq.sources import store
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DIALECT = {"spark": {"HASH256": "(sha2({}, 256))", "BYTES": "(octet_length({}))"}, "duckdb": {"HASH256": "(sha256({}))", "BYTES": "(strlen({}))"}}
 
@@ -33,21 +36,25 @@ VIEWS = {
         UNION ALL SELECT class_id, 'class', name, module_id, CAST(s_suppkey + 1 AS INT), CAST(s_suppkey + 100 AS INT), CAST(NULL AS STRING), false FROM cls
         UNION ALL SELECT fn_id, 'function', name, module_id, start_line, end_line, class_id, true FROM meth
         UNION ALL SELECT concat(m.module_id, '::f', CAST(c_custkey AS STRING)), 'function', concat('f', CAST(c_custkey AS STRING)), m.module_id,
-        CAST(c_custkey + 1 AS INT), CAST(c_custkey + 9 AS INT), CAST(NULL AS STRING), false FROM customer JOIN mods m ON c_nationkey = m.n_nationkey WHERE c_custkey % 2 = 0""",
-    "edges": """SELECT coalesce(parent_id, relative_path) AS src, node_id AS dst, 'contains' AS type FROM nodes WHERE kind <> 'module'
-        UNION ALL SELECT a.class_id, b.class_id, 'inherits' FROM cls a JOIN cls b ON a.module_id = b.module_id AND b.s_suppkey < a.s_suppkey WHERE a.s_suppkey % 3 = 0
-        UNION ALL SELECT DISTINCT a.module_id, b.module_id, 'imports' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        JOIN supplier ON s_suppkey = l_suppkey JOIN mods a ON a.n_nationkey = c_nationkey JOIN mods b ON b.n_nationkey = s_nationkey
-        WHERE l_orderkey % 500 = 0 AND c_nationkey <> s_nationkey
-        UNION ALL SELECT DISTINCT a.fn_id, b.fn_id, 'calls' FROM lineitem JOIN meth a ON a.p_partkey = l_partkey CROSS JOIN (SELECT count(*) AS n FROM part) k
-        JOIN meth b ON b.p_partkey = (l_partkey * 7 + l_linenumber * 13 + l_suppkey) % k.n WHERE l_orderkey % 50 = 0""",
-    "paths": """SELECT DISTINCT concat(CASE WHEN p_partkey % 3 = 0 THEN 'src/' ELSE '' END, replace(p_name, ' ', '/'), '.py') AS path FROM part WHERE p_partkey % 25 = 0
-        UNION SELECT DISTINCT concat(CASE WHEN p_partkey % 32 = 0 THEN 'src/' ELSE '' END, split_part(p_name, ' ', 1), '/__init__.py') FROM part
-        WHERE p_partkey % 16 = 0 AND p_name NOT LIKE 'red%' AND NOT (p_partkey % 32 = 0 AND p_name LIKE 'b%')
-        UNION SELECT DISTINCT concat(split_part(p_name, ' ', 1), '.py') FROM part WHERE p_name LIKE 'new%'""",
-    "imports_in": """SELECT DISTINCT concat(CASE WHEN a.p_partkey % 3 = 0 THEN 'src/' ELSE '' END, replace(a.p_name, ' ', '/'), '.py') AS source_path,
-        CASE WHEN a.p_partkey % 2 = 0 THEN replace(b.p_name, ' ', '.') ELSE split_part(b.p_name, ' ', 2) END AS module, CASE WHEN a.p_partkey % 2 = 0 THEN 0 ELSE 1 END AS level
-        FROM part a CROSS JOIN (SELECT count(*) AS n FROM part) k JOIN part b ON b.p_partkey = (a.p_partkey * 3 + 1) % k.n WHERE a.p_partkey % 5 = 0""",
+        CAST(c_custkey + 1 AS INT), CAST(c_custkey + 9 AS INT), CAST(NULL AS STRING), false FROM customer JOIN mods m ON c_nationkey = m.n_nationkey""",
+    "edges": """SELECT coalesce(parent_id, relative_path) AS src, node_id AS dst, 'contains' AS type, CAST(NULL AS INT) AS pos FROM nodes WHERE kind <> 'module'
+        UNION ALL SELECT a.class_id, b.class_id, 'inherits', CAST(row_number() OVER (PARTITION BY a.class_id ORDER BY (b.s_suppkey * 7) % 11, b.s_suppkey) AS INT)
+        FROM cls a JOIN cls b ON a.module_id = b.module_id AND b.s_suppkey < a.s_suppkey AND b.s_suppkey >= a.s_suppkey - 100
+        UNION ALL SELECT DISTINCT a.module_id, b.module_id, 'imports', CAST(NULL AS INT) FROM (SELECT DISTINCT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = l_suppkey) x JOIN mods a ON a.n_nationkey = c_nationkey JOIN mods b ON b.n_nationkey = s_nationkey
+        WHERE c_nationkey <> s_nationkey
+        UNION ALL SELECT DISTINCT a.fn_id, b.fn_id, 'calls', CAST(NULL AS INT) FROM lineitem JOIN meth a ON a.p_partkey = l_partkey CROSS JOIN (SELECT count(*) AS n FROM part) k
+        JOIN meth b ON b.p_partkey = (l_partkey * 7 + l_linenumber * 13 + l_suppkey) % k.n""",
+    "py": """SELECT p_partkey, p_name, concat(CASE WHEN p_name LIKE '%ring' THEN 'src/' ELSE '' END, replace(p_name, ' ', '/'), '_', CAST(p_size AS STRING), '.py') AS path FROM part""",
+    "paths": """SELECT path FROM py
+        UNION SELECT concat('src/', path) FROM py WHERE p_name LIKE '%rod'
+        UNION SELECT concat(split_part(p_name, ' ', 1), CASE WHEN p_name LIKE 'red%' THEN '/__main__.py' ELSE '/__init__.py' END) FROM part
+        UNION SELECT concat('src/', split_part(p_name, ' ', 1), CASE WHEN p_name LIKE 'cold%' THEN '/__main__.py' ELSE '/__init__.py' END) FROM part
+        UNION SELECT concat(split_part(p_name, ' ', 1), '.py') FROM part WHERE p_name LIKE 'new%'""",
+    "imports_in": """SELECT DISTINCT a.path AS source_path,
+        CASE WHEN a.p_partkey % 4 = 0 THEN split_part(b.p_name, ' ', 1) WHEN a.p_partkey % 4 IN (1, 2) THEN replace(replace(replace(b.path, 'src/', ''), '/', '.'), '.py', '')
+        ELSE replace(split_part(replace(b.path, 'src/', ''), '/', 2), '.py', '') END AS module, CASE WHEN a.p_partkey % 4 = 3 THEN 1 ELSE 0 END AS level
+        FROM py a CROSS JOIN (SELECT count(*) AS n FROM part) k JOIN py b ON b.p_partkey = (a.p_partkey * 3 + 1) % k.n""",
     "turns": """SELECT conv_id, turn, text AS question, nxt AS answer FROM (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) z WHERE role = 'user' AND nr = 'assistant'""",
     "points": "SELECT vec_id, label AS repo_id, concat('emb/v', CAST(vec_id AS STRING), '.py::f') AS chunk_id FROM embeddings",
@@ -55,12 +62,13 @@ VIEWS = {
 _NAME = re.compile(r"\b(?:FROM|JOIN)\s+(\w+)")
 
 
-def _needed(sql: str) -> list[str]:
-    """Views of a statement, each after those that it reads."""
+def _needed(sql: str, kept: dict[str, str] | None = None) -> list[str]:
+    """Views of a statement, each after those that it reads; of a kept view only itself."""
     out: list[str] = []
     for name in _NAME.findall(sql):
         if name in VIEWS:
-            out += [x for x in (*_needed(VIEWS[name]), name) if x not in out]
+            below = [] if kept and name in kept else _needed(VIEWS[name], kept)
+            out += [x for x in (*below, name) if x not in out]
     return out
 
 
@@ -77,21 +85,36 @@ def _dialect(sql: str, engine: str) -> str:
     return sql
 
 
-def statement(sql: str, engine: str, sf_dir: str = "", extra: dict[str, str] | None = None) -> str:
-    """A single statement with the views that it needs as common table expressions; extra: more of them, in order."""
-    views = _needed(" ".join([sql, *(extra or {}).values()]))
-    parts = [(v, VIEWS[v]) for v in views] + list((extra or {}).items())
+def statement(sql: str, engine: str, sf_dir: str = "", extra: dict[str, str] | None = None, kept: dict[str, str] | None = None) -> str:
+    """A single statement with the views that it needs as common table expressions; extra: more of them, in order; kept: views that are read instead."""
+    kept = kept or {}
+    parts = [(v, kept.get(v, VIEWS[v])) for v in _needed(" ".join([sql, *(extra or {}).values()]), kept)] + list((extra or {}).items())
     if engine == "spark":
         used = {t for _, s in parts for t in _NAME.findall(s)} | set(_NAME.findall(sql))
         parts = [(t, f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`") for t in TABLES if t in used] + parts
     with_ = "WITH " + ", ".join(f"{n} AS ({s})" for n, s in parts) + " " if parts else ""
-    if engine == "duckdb" and with_ and any("RECURSIVE" in s for _, s in parts):
-        with_ = "WITH RECURSIVE " + with_[5:]
     return _dialect(with_ + sql, engine)
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def relation(spark: SparkSession, sf_dir: str, name: str, kept: dict[str, str] | None = None) -> DataFrame:
     """One canonical relation, or a driver table."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(statement(f"SELECT * FROM {name}", "spark", sf_dir))
+    if kept and name in kept:
+        return spark.sql(kept[name])
+    return spark.sql(statement(f"SELECT * FROM {name}", "spark", sf_dir, kept=kept))
+
+
+def relations(spark: SparkSession, sf_dir: str, settled: tuple[str, ...] = ()) -> Callable[[str], DataFrame]:
+    """A loader of relations. Those settled, each after what it is made of, are written when first asked for and then read."""
+    kept: dict[str, str] = {}
+
+    def load(name: str) -> DataFrame:
+        for view in settled:
+            if view not in kept and view in [*_needed(VIEWS.get(name, "")), name]:
+                where = store.folder(spark)
+                relation(spark, sf_dir, view, kept).write.parquet(where)
+                kept[view] = f"SELECT * FROM parquet.`{where}`"
+        return relation(spark, sf_dir, name, kept)
+
+    return load

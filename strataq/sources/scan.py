@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,18 @@ BINARY_EXTENSIONS = (
     ".7z", ".pdf", ".docx", ".xlsx",
 )
 LANGUAGES = {
-    "python": ".py .pyi", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx", "java": ".java", "c": ".c .h",
-    "cpp": ".cpp .cc .cxx .hpp", "go": ".go", "rust": ".rs", "csharp": ".cs", "php": ".php", "ruby": ".rb",
-    "kotlin": ".kt .kts", "swift": ".swift", "dart": ".dart", "html": ".html .htm", "css": ".css", "scss": ".scss",
-    "sql": ".sql", "json": ".json", "yaml": ".yaml .yml", "toml": ".toml", "xml": ".xml", "markdown": ".md .markdown",
-    "shell": ".sh .bash .zsh",
+    "python": [".py", ".pyi"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "typescript": [".ts", ".tsx"], "java": [".java"],
+    "c": [".c", ".h"], "cpp": [".cpp", ".cc", ".cxx", ".hpp"], "go": [".go"], "rust": [".rs"], "csharp": [".cs"], "php": [".php"],
+    "ruby": [".rb"], "kotlin": [".kt", ".kts"], "swift": [".swift"], "dart": [".dart"], "html": [".html", ".htm"], "css": [".css"],
+    "scss": [".scss"], "sql": [".sql"], "json": [".json"], "yaml": [".yaml", ".yml"], "toml": [".toml"], "xml": [".xml"],
+    "markdown": [".md", ".markdown"], "shell": [".sh", ".bash", ".zsh"],
 }
 SPECIAL_NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile", "CMakeLists.txt": "cmake"}
 
 
 def language(name: Column) -> Column:
     """Language of a file name: special names first, then the last extension in lower case; null if unknown."""
-    by_extension = {e: lang for lang, es in LANGUAGES.items() for e in es.split()}
+    by_extension = {e: lang for lang, es in LANGUAGES.items() for e in es}
     table = F.create_map(*[F.lit(x) for pair in by_extension.items() for x in pair])
     special = F.create_map(*[F.lit(x) for pair in SPECIAL_NAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(special, name), F.try_element_at(table, F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))))
@@ -56,8 +57,9 @@ def scan(spark: SparkSession, root: str, repo_id: int = 0) -> DataFrame:
     """Every listed file with its disposition (ignored, binary, large, error, kept), in walk order by file_ord.
 
     repo_id, relative_path, file_ord, language, content_hash, size_bytes, last_modified, content, disposition. Ignored
-    directories are not entered; each is one row with disposition ignored_dir. Cheap tests come first, so that only
-    kept files are read.
+    directories are not entered; each is one row with disposition ignored_dir. The driver lists names; contents are
+    read by the executors, through Spark's file source, of files up to MAX_BYTES only. A file that can't be read is an
+    error. Names are tested first.
     """
     dirs, patterns = ignore_rules(root)
     names = {*IGNORED_DIRECTORIES, *dirs}
@@ -67,36 +69,33 @@ def scan(spark: SparkSession, root: str, repo_id: int = 0) -> DataFrame:
         subs[:] = sorted(d for d in subs if d not in names)
         listed += [os.path.relpath(os.path.join(folder, f), root) for f in sorted(files)]
     rows = [(p.replace(os.sep, "/"), d) for d, ps in ((False, listed), (True, pruned)) for p in ps]
-    table = spark.createDataFrame(rows, "relative_path string, pruned boolean").repartition(max(1, len(rows) // 256))
-
-    def read(batches):
-        import datetime
-
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for p in pdf["relative_path"]:
-                try:
-                    st = os.stat(full := os.path.join(root, p))
-                    content = None
-                    if st.st_size <= MAX_BYTES:
-                        with open(full, "rb") as f:
-                            content = f.read()
-                    out.append((p, st.st_size, datetime.datetime.fromtimestamp(st.st_mtime, datetime.UTC).isoformat(), content, None))
-                except OSError as e:
-                    out.append((p, None, None, None, type(e).__name__))
-            yield pd.DataFrame(out, columns=["relative_path", "size_bytes", "last_modified", "content", "error"])
+    table = spark.createDataFrame(rows, "relative_path string, pruned boolean")
+    top = len(os.path.abspath(root)) + 1
+
+    def read() -> DataFrame:
+        """What Spark's reader of files gives for the listed paths; contents only up to MAX_BYTES."""
+        if not listed:
+            return spark.createDataFrame([], "relative_path string, size_bytes long, last_modified string, content binary")
+        paths = [os.path.join(os.path.abspath(root), p) for p in listed]
+        source = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        whole = source.load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths])  # paths, not patterns
+        path = F.regexp_replace("path", "^file:/*", "/")
+        stamp = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+        facts = lambda df, content: df.select(F.substring(path, top + 1, 1 << 30).alias("relative_path"), F.col("length").alias("size_bytes"), stamp.alias("last_modified"), content.alias("content"))
+        none = F.lit(None).cast("binary")
+        return facts(whole.where(F.col("length") <= MAX_BYTES), F.col("content")).union(facts(whole.where(F.col("length") > MAX_BYTES), none))
 
     base = F.element_at(F.split("relative_path", "/"), -1)
     globs = "|".join(fnmatch.translate(p).replace(r"\z", r"\Z") for p in (*IGNORED_PATTERNS, *patterns))
     binary = F.lower(F.regexp_extract(base, r".(\.[^.]*)$", 1)).isin(*BINARY_EXTENSIONS)
     early = table.withColumn("early", F.when(F.col("pruned"), "ignored_dir").when(base.rlike(globs), "ignored").when(binary, "binary"))
-    got = early.where("early is null").select("relative_path").mapInPandas(read, "relative_path string, size_bytes long, last_modified string, content binary, error string")
-    late = F.when(F.col("error").isNotNull() & F.col("size_bytes").isNull(), "error").when(F.col("size_bytes") > MAX_BYTES, "large").when(F.col("content").isNull(), "error").otherwise("kept")
+    got = read()
+    late = F.when(F.col("size_bytes") > MAX_BYTES, "large").when(F.col("content").isNull(), "error").otherwise("kept")
     parts = F.split("relative_path", "/")
     order = F.concat(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d: F.concat(F.lit("1"), d)), F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))
-    return early.join(got, "relative_path", "left").select(
+    read_ = early.where("early is null").join(got, "relative_path", "left")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("size_bytes", "long"), ("last_modified", "string"), ("content", "binary"))]
+    return read_.unionByName(early.where("early is not null").select("*", *none)).select(
         F.lit(repo_id).cast("long").alias("repo_id"), "relative_path", order.alias("file_ord"), language(base).alias("language"), F.sha2("content", 256).alias("content_hash"),
         "size_bytes", "last_modified", "content", F.coalesce("early", late).alias("disposition"),
     )

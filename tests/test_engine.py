@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 from strataq.functions import expressions as X
-from strataq.operators import expand, parse, resolve, retrieve
+from strataq.operators import expand, graph, parse, resolve, retrieve
 from strataq.plans import registry
 from strataq.plans.session import NotIndexed, Session, Stale
-from strataq.sources import scan
+from strataq.sources import catalog, scan
 from strataq.sources.catalog import Catalog
 
 SOURCE = '''from __future__ import annotations
@@ -109,7 +109,7 @@ def test_session(spark, tree):
     assert first["added"] == first["total_files"] and first["updated"] == 0
     edges = {(r["src"], r["dst"], r["type"]) for r in s.graph()[1].collect()}
     assert {("app.py", "lib.py", "imports"), ("app.py::run", "lib.py::helper", "calls"), ("lib.py::C.m", "lib.py::C.m", "calls"), ("lib.py::C", "lib.py::B", "inherits"), ("lib.py::C", "lib.py::C.m", "contains")} <= edges
-    assert s.catalog.list_point_ids(1).count() == 3
+    assert s.catalog.list_point_ids(1).count() == 3 and s.catalog.vector_size() == 64
     assert "Function:\nhelper" in s.ask("where is helper defined?") and "=== Retrieved Symbol 1 ===" in s.ask("what does helper do")
     assert s.doctor().first()["status"] == "healthy"
     with open(os.path.join(root, "lib.py"), "a") as f:
@@ -123,46 +123,104 @@ def test_session(spark, tree):
     assert s.catalog.list_repositories().count() == 0 and s.catalog.read("vectors").count() == 0
 
 
-def test_queries_agree_with_oracles(spark):
-    sf = "/root/testdata/sf0.001"
+@pytest.fixture(scope="module")
+def oracle():
     con = duckdb.connect()
     for t in registry.adapter.TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("module_stats", "sync_summary", "point_id", "import_edges", "bfs_calls", "vector_topk", "parse_symbols", "loc", "route_queries", "mask_config"):
-        df = registry.queries()[name](spark, sf)
-        want = con.sql(registry.oracle_sql()[name])
-        cols = sorted(df.columns)
-        assert cols == sorted(want.columns)
-        assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall())), name
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return con
 
 
-def _agree(spark, name, sf="/root/testdata/sf0.001"):
-    con = duckdb.connect()
-    for t in registry.adapter.TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    df, want = registry.queries()[name](spark, sf), con.sql(registry.oracle_sql()[name])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_agrees_with_its_oracle(spark, oracle, name):
+    df, want = registry.queries()[name](spark, "/root/testdata/sf0.001"), oracle.sql(registry.oracle_sql()[name])
     cols = sorted(df.columns)
     got = df.select(*cols).collect()
     assert cols == sorted(want.columns)
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.select(*cols).fetchall())), name
-    return got
-
-
-def test_every_function_is_expanded(spark):
-    nodes = registry.adapter.relation(spark, "/root/testdata/sf0.001", "nodes")
-    functions = {r["node_id"] for r in nodes.where("kind = 'function'").collect()}
-    assert {r["start"] for r in _agree(spark, "expand_all")} == functions
-    _agree(spark, "siblings_all")
-    _agree(spark, "siblings")
-    _agree(spark, "expand_hits")
-
-
-def test_every_vector_query_is_hybrid(spark):
-    sf = "/root/testdata/sf0.001"
-    queries = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    got = _agree(spark, "hybrid_search_all")
-    assert {r["query_id"] for r in got} == queries
-    assert {r["query_id"] for r in got if r["origin"] == "name"} == queries
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.select(*cols).fetchall()))
+
+
+def test_line_ends_and_marks():
+    plain = parse.parse_module("p/m.py", SOURCE)
+    for other in (SOURCE.replace("\n", "\r"), SOURCE.replace("\n", "\r\n"), "\ufeff" + SOURCE, SOURCE.replace("\n", "\r\n", 7)):
+        assert parse.parse_module("p/m.py", other.encode()) == parse.parse_module("p/m.py", other) == plain
+    one = parse.parse_module("x.py", b"\xef\xbb\xbfdef f():\r    a.b(1)\r\r\ndef g(): pass")
+    assert [(f["name"], f["start_line"], f["end_line"]) for f in one["functions"]] == [("f", 1, 2), ("g", 4, 4)]
+    assert one["functions"][0]["calls"] == [{"callee_name": "b", "receiver": "a", "line": 2}]
+
+
+def test_base_class_is_the_first_declared(spark):
+    modules = parse.parse(spark.createDataFrame([("m.py", b"class A: pass\nclass Z: pass\nclass C(Elsewhere, Z, A):\n    def f(self): pass\n    def g(self): self.f()\n")], "relative_path string, content binary"))
+    nodes, edges = graph.nodes(modules), graph.edges(modules)
+    assert [tuple(r) for r in resolve.first_base(edges).collect()] == [("m.py::C", "m.py::Z")]
+    hits = spark.createDataFrame([("m.py::C.g", 2), ("m.py::C.f", 1)], "start string, rank int")
+    got = {r["rank"]: r for r in expand.expand(nodes, edges, hits).collect()}
+    assert tuple(got[1]["base_class"]) == ("Z", "class", 2, 2) and tuple(got[1]["parent"]) == ("C", "class", 3, 5)
+    assert [tuple(x) for x in got[1]["siblings"]] == [("g", "function", 5, 5)] and [x["name"] for x in got[2]["calls"]] == ["f"] and got[2]["called_by"] is None
+    assert expand.owners(nodes, edges).where("n <> 1").isEmpty()
+
+
+def test_names_in_questions(spark):
+    nodes = spark.createDataFrame([(n, "function", n) for n in ("foo", "bar", "baz", "x", "Get_X", "")] + [("K", "class", "foo")], "node_id string, kind string, name string")
+    asked = [(0, "\tfoo"), (1, "foo\n"), (2, " \t "), (3, "what is BA"), (4, "in (foo)"), (5, None), (6, "get_\u2003zz"), (7, "t_x")]
+    got = {}
+    for r in retrieve.lexical_match(nodes, spark.createDataFrame(asked, "query_id int, query string")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["node_id"])
+    assert got == {0: ["foo"], 1: ["foo"], 3: ["bar", "baz"], 4: ["foo"], 6: ["Get_X"], 7: ["x", "Get_X"]}
+    routed = spark.createDataFrame([("\twhere is x defined?\n",), ("where is ??",), ("Show Implementation of A.b ??",)], "q string").select(retrieve.route(X.F.col("q")).alias("r")).collect()
+    assert [r["r"] and tuple(r["r"]) for r in routed] == [("definition", "x"), None, ("implementation", "A.b")]
+
+
+def test_near_vectors_keep_their_order(spark):
+    v = spark.createDataFrame([(1, 1, [1.0, 1e-4]), (2, 1, [1.0, 2e-4]), (3, 1, [1.0, 1e-4]), (4, 2, [1.0, 0.0]), (5, 1, [0.0, 0.0]), (6, 1, None)], "vec_id long, repo_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, 1, [1.0, 2e-4]), (9, 2, [1.0, 0.0])], "query_id long, repo_id long, query_embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in retrieve.vector_topk(v, q, 4).orderBy("query_id", "rank").collect()]
+    assert got[:4] == [(0, 2, 1.0), (0, 1, 1.0), (0, 3, 1.0), (0, 4, 1.0)]
+    own = [(r["query_id"], r["vec_id"]) for r in retrieve.vector_topk(v, q, 5, same_repo=True).orderBy("query_id", "rank").collect()]
+    assert own == [(0, 2), (0, 1), (0, 3), (0, 5), (9, 4)]
+
+
+def test_catalog(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "c"))
+    one, two = c.get_or_create("/a", "a"), c.get_or_create("/b", "b")
+    assert (one, two, c.get_or_create("/a", "a")) == (1, 2, 1)
+    modules = lambda *ps: spark.createDataFrame([(p, "h", "{}") for p in ps], "relative_path string, content_hash string, data string")
+    c.replace("modules", one, modules("x", "y"))
+    c.replace("modules", two, modules("x"))
+    before = c._versions(c._part("modules", two))
+    c.upsert_modules(one, modules("y", "z"))
+    assert {r["relative_path"] for r in c.read("modules", one).collect()} == {"x", "y", "z"} and c._versions(c._part("modules", two)) == before
+    assert c.delete_modules(one, modules("x", "none")) == 1 and c.clear_modules(one) == 2 and c.clear_modules(one) == 0 and c.read("modules").count() == 1
+    row = [("p", "k", "function", "x", 1, 2, "text", "h", [1.0, 2.0])]
+    points = spark.createDataFrame(row, ", ".join(catalog.SCHEMAS["vectors"].split(", ")[:-1]))
+    c.create_collection(2)
+    c.create_collection(3)
+    c.upsert_vectors(one, points)
+    c.upsert_vectors(one, points.limit(0))
+    with pytest.raises(ValueError):
+        c.upsert_vectors(one, points.withColumn("embedding", X.F.array(X.F.lit(1.0).cast("float"))))
+    c.upsert_vectors(one, points.withColumn("content", X.F.lit("new")))
+    assert [r["content"] for r in c.read("vectors", one).collect()] == ["new"]
+    c.delete_vectors(one, points.limit(0))
+    c.remove(one)
+    assert c.read("vectors").count() == 0 and [r["name"] for r in c.list_repositories().collect()] == ["b"] and c.repository_by_id(1).isEmpty()
+
+
+def test_commands(spark, tree):
+    s = Session(Catalog(spark, str(tree / "catalog2")), str(tree / "tree"))
+    assert {r["check"]: r["state"] for r in s.checks().collect()} == {"Configuration": "ok", "Source tree": "ok", "Catalog": "ok", "Vectors": "open", "Repository": "open", "Freshness": "open", "Embeddings": "open"}
+    s.init()
+    assert {r["state"] for r in s.checks().collect()} == {"ok"} and s.doctor().first()["status"] == "healthy"
+    shown = [(r["section"], r["name"], r["shown"]) for r in s.config({"answer_key": "abcdefgh", "odd": "1", "root": "/x"}).collect()]
+    assert shown[:3] == [("Paths", "root", "/x"), ("Answers", "answer_key", "****efgh"), ("Other", "odd", "1")] and shown[3][:2] == ("Scanner", "ignored_directories")
+    assert dict(map(tuple, s.version().collect()))["Spark"] == spark.version and s.help().where("command = 'chat'").count() == 1
+    assert s.chat("history") == "No conversation history yet." and s.chat(" ") == "" and s.chat("EXIT") is None and "clear" in s.chat("help")
+    assert "Base class:\nB (lines 1-2)" in s.chat("what does m do") and "Parent class:\nC (lines 4-6)" in s.turns[0][1] and "1. User: what does m do" in s.chat("history")
+    assert "Conversation turns: 1" in s.chat("stats") and s.chat("clear") and not s.turns
+    got = {(r["direction"], r["type"]): r["others"] for r in s.inspect("lib.py::C").collect()}
+    assert got == {("out", "contains"): ["lib.py::C.m"], ("out", "inherits"): ["lib.py::B"], ("in", "contains"): ["lib.py"]}
+    os.rename(s.root, s.root + "x")
+    assert s.doctor().first()["status"] == "failed"
 
 
 def test_navigation_gives_all_matches_and_sources(spark, tmp_path):
