@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.functions import expressions as X
-from strataq.operators import chunk, expand, explore, parse, resolve, retrieve, sync
-from strataq.sources import adapter, scan
+from strataq.operators import chunk, expand, explore, graph, parse, resolve, retrieve, sync
+from strataq.plans.providers import HashedWords
+from strataq.sources import adapter, scan, store
+from strataq.sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,8 +416,6 @@ def parse_imports(t):
 
 @query("""SELECT module_id || '::' || k || '.m' || k[2:] AS chunk_id, 'Method ' || k || '.m' || k[2:] || chr(10) || 'Module ' || module_id || chr(10) || '    def m' || k[2:] || '(self):' || chr(10) || '        helper()' AS content FROM src_""", src_=_SOURCE)
 def chunk_text(t):
-    from strataq.operators import graph
-
     return chunk.chunks(graph.nodes(_modules(t)), _source(t)).select("chunk_id", "content")
 
 
@@ -480,6 +481,226 @@ def format_timestamp(t):
     return t("orders").select("o_orderkey", X.minute(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("shown"))
 
 
+# A tree of files made of all documents, some filled up to the size limit or a byte beyond, and its ignore file.
+_IGNORE = "# rules\n\nskip/\n*.tmp\n"
+_SCANNED = r"""SELECT path, CASE WHEN regexp_matches(name, '\.(log|lock|tmp)$|\.min\.js$') THEN 'ignored' WHEN regexp_matches(lower(name), '.\.(png|gz)$') THEN 'binary' WHEN size > 1048576 THEN 'large' ELSE 'kept' END AS disposition, name, content, size
+    FROM (SELECT path, split_part(path, '/', -1) AS name, CASE WHEN fill = 0 THEN text ELSE repeat('x', fill) END AS content, CASE WHEN fill = 0 THEN strlen(text) ELSE fill END AS size FROM tree
+    WHERE NOT regexp_matches(path, '(^|/)(node_modules|\.git|build|skip)/'))"""
+_EXTENSIONS = {".py": "python", ".md": "markdown", ".tsx": "typescript", ".json": "json", ".yml": "yaml", ".rs": "rust", ".go": "go", ".h": "c", ".cc": "cpp", ".kts": "kotlin", ".zsh": "shell", ".swift": "swift", ".rb": "ruby",
+               ".php": "php", ".cs": "csharp", ".dart": "dart", ".scss": "scss", ".sql": "sql", ".toml": "toml", ".htm": "html", ".js": "javascript"}
+_LANGUAGE = "CASE WHEN name = 'Makefile' THEN 'makefile' " + " ".join(f"WHEN lower(regexp_extract(name, '\\.[^.]*$')) = '{e}' THEN '{lang}'" for e, lang in _EXTENSIONS.items()) + " END"
+
+
+def _tree(t) -> DataFrame:
+    """The tree, written by the executors to the shared folder and scanned."""
+    files = t("tree").select("path", F.when(F.col("fill") == 0, F.col("text")).otherwise(F.expr("repeat('x', fill)")).alias("content"))
+    root = store.folder(files.sparkSession).removeprefix("file://").replace("file:/", "/")
+
+    def write(batches):
+        import os
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+            yield pdf[["path"]].head(0)
+
+    ignore = files.sparkSession.createDataFrame([(scan.IGNORE_FILE, _IGNORE)], "path string, content string")
+    files.union(ignore).mapInPandas(write, "path string").count()
+    return scan.scan(files.sparkSession, root, 1)
+
+
+@query(f"""SELECT path AS relative_path, disposition, {_LANGUAGE} AS language, CASE WHEN disposition IN ('kept', 'large') THEN size END AS size_bytes, CASE WHEN disposition = 'kept' THEN sha256(content) END AS content_hash FROM scanned
+    UNION ALL SELECT '{scan.IGNORE_FILE}', 'kept', NULL, {len(_IGNORE)}, sha256('# rules' || chr(10) || chr(10) || 'skip/' || chr(10) || '*.tmp' || chr(10))
+    UNION ALL SELECT DISTINCT regexp_extract(path, '^(.*?(node_modules|\\.git|build|skip))/', 1), 'ignored_dir', NULL, NULL, NULL FROM tree WHERE regexp_matches(path, '(^|/)(node_modules|\\.git|build|skip)/')""", scanned=_SCANNED)
+def scan_tree(t):
+    return _tree(t).select("relative_path", "disposition", "language", "size_bytes", "content_hash")
+
+
+@query("""SELECT disposition, count(*) AS n FROM (SELECT disposition FROM scanned UNION ALL SELECT 'kept' UNION ALL SELECT DISTINCT 'ignored_dir ' || regexp_extract(path, '^(.*?(node_modules|\\.git|build|skip))/', 1) FROM tree
+    WHERE regexp_matches(path, '(^|/)(node_modules|\\.git|build|skip)/')) GROUP BY ALL""".replace("SELECT disposition, count(*)", "SELECT split_part(disposition, ' ', 1) AS disposition, count(*)").replace("GROUP BY ALL", "GROUP BY 1"), scanned=_SCANNED)
+def scan_summary(t):
+    return scan.scan_summary(_tree(t))
+
+
+@query(r"SELECT doc_id, regexp_replace(split_part(path, '/', -1), '(.)\.[^.]*$', '\1') AS stem FROM tree")
+def module_stem(t):
+    return t("tree").select("doc_id", X.stem(F.col("path")).alias("stem"))
+
+
+@query("SELECT path FROM tree WHERE path LIKE '%.py' OR path LIKE '%.PY'")
+def python_files(t):
+    """Files that the parser takes, by their language."""
+    return t("tree").where(scan.language(F.element_at(F.split("path", "/"), -1)) == "python").select("path")
+
+
+@query("SELECT DISTINCT relative_path FROM changes WHERE change IN ('added', 'updated')", changes=CHANGES)
+def changed_paths(t):
+    return _changes(t).where(F.col("change").isin("added", "updated")).select("relative_path").distinct()
+
+
+def _catalog(t) -> Catalog:
+    spark = t("region").sparkSession
+    return Catalog(spark, store.folder(spark))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS BIGINT) AS repo_id, '/trees/' || lower(r_name) AS path, lower(r_name) AS name, r_regionkey = 2 AS touched FROM region")
+def catalog_repositories(t):
+    """Each region is a repository, asked for twice; one is touched."""
+    c = _catalog(t)
+    for _ in range(2):
+        for r in t("region").orderBy("r_regionkey").collect():  # a handful
+            found = c.get_or_create(f"/trees/{r['r_name'].lower()}", r["r_name"].lower())
+            if r["r_regionkey"] == 2:
+                c.touch(found)
+    return c.list_repositories().select("repo_id", "path", "name", F.col("last_indexed_at").isNotNull().alias("touched"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS repo_id, relative_path, content_hash FROM files_now UNION ALL SELECT 2, relative_path, content_hash FROM files_prev")
+def catalog_files(t):
+    """One repository's files replaced by a newer state, beside another's."""
+    c = _catalog(t)
+    now = t("files_now").withColumn("last_modified", F.lit(""))
+    before = t("files_prev").select("relative_path", "content_hash", *[F.lit(None).alias(x) for x in ("language", "size_bytes", "last_modified")])
+    for repo_id, rows in ((1, before), (2, before), (1, now)):
+        c.replace("files", repo_id, rows)
+    return c.read("files").select("repo_id", "relative_path", "content_hash")
+
+
+@query("SELECT 'p' || CAST(vec_id AS VARCHAR) AS point_id, CASE WHEN vec_id % 5 = 0 THEN 'second' ELSE 'first' END AS content FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT 'p' || CAST(vec_id AS VARCHAR), 'other' FROM embeddings")
+def catalog_vectors(t):
+    """All vectors stored for two repositories; in one, those divisible by 5 stored again and those by 7 deleted."""
+    c = _catalog(t)
+    v = t("embeddings").select("vec_id", F.concat(F.lit("p"), "vec_id").alias("point_id"), F.lit("first").alias("content"), F.col("embedding").cast("array<float>").alias("embedding"), *[F.lit(None).alias(x) for x in ("chunk_id", "kind", "relative_path", "start_line", "end_line", "content_hash")])
+    c.create_collection(v.select(F.size("embedding")).first()[0])
+    c.upsert_vectors(1, v)
+    c.upsert_vectors(2, v.withColumn("content", F.lit("other")))
+    c.upsert_vectors(1, v.where("vec_id % 5 = 0").withColumn("content", F.lit("second")))
+    c.delete_vectors(1, v.where("vec_id % 7 = 0"))
+    return c.read("vectors").select("point_id", "content")
+
+
+@query("SELECT name, repo_id, n FROM (VALUES ('files', 2), ('modules', 2), ('vectors', 2), ('repositories', 0)) v(name, repo_id), (SELECT count(*) AS d FROM documents) JOIN LATERAL (SELECT CASE WHEN name = 'repositories' THEN 1 ELSE d END AS n) ON true")
+def catalog_remove(t):
+    """Rows of each table after one of two repositories is removed."""
+    c, docs = _catalog(t), t("documents")
+    path = F.col("doc_id").cast("string")
+    for name in ("a", "b"):
+        i = c.get_or_create(f"/{name}", name)
+        c.replace("files", i, docs.select(path.alias("relative_path"), *[F.lit(None).alias(x) for x in ("language", "content_hash", "size_bytes", "last_modified")]))
+        c.upsert_modules(i, docs.select(path.alias("relative_path"), F.lit("h").alias("content_hash"), F.lit("{}").alias("data")))
+        c.upsert_vectors(i, docs.select(path.alias("point_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"), *[F.lit(None).alias(x) for x in ("chunk_id", "kind", "relative_path", "start_line", "end_line", "content", "content_hash")]))
+    c.remove(1)
+    counts = [c.read(n).groupBy((F.col("repo_id") if n != "repositories" else F.lit(0)).cast("int").alias("repo_id")).count().select(F.lit(n).alias("name"), "repo_id", F.col("count").alias("n")) for n in ("files", "modules", "vectors", "repositories")]
+    return reduce(DataFrame.union, counts)
+
+
+# Source with decorators, several bases, imports of all kinds and receivers. Each class is six lines and has the class before it as its second base.
+_HEAD = "import os.path as p, sys\nfrom ..up import *\nfrom . import one as two, three\n"
+_FORMS = "SELECT *, lag(k) OVER (PARTITION BY module_id ORDER BY s_suppkey) AS before FROM src_"
+_FORM = {"src_": _SOURCE, "forms": _FORMS}
+_ID, _METHOD = "module_id || '::' || k", "module_id || '::' || k || '.m' || k[2:]"
+
+
+def _form_source(t) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    before = F.lag("s_suppkey").over(Window.partitionBy("module_id").orderBy("s_suppkey"))
+    text = F.concat(F.lit("@deco(1)\nclass S"), k, F.lit("(Base"), F.coalesce(F.concat(F.lit(", S"), before.cast("string")), F.lit("")), F.lit(", metaclass=M):\n    @property\n    def m"), k, F.lit("(self):\n        self.m"), k, F.lit("()\n        a.b.helper(f\"{inner()}\")\n"))
+    one = t("cls").select("module_id", F.struct("s_suppkey", text.alias("x")).alias("one"))
+    body = one.groupBy("module_id").agg(F.array_sort(F.collect_list("one")).alias("l"))
+    return body.select(F.col("module_id").alias("relative_path"), F.concat(F.lit(_HEAD), F.array_join(F.transform("l", lambda s: s["x"]), "")).alias("text"))
+
+
+def _forms(t) -> DataFrame:
+    return parse.parse(_form_source(t).select("relative_path", F.encode("text", "UTF-8").alias("content")))
+
+
+@query(f"SELECT {_ID} AS class_id, CAST(6 * i - 1 AS INT) AS start_line, CAST(6 * i + 3 AS INT) AS end_line, concat_ws(',', 'Base', before, 'metaclass=M') AS bases FROM forms", **_FORM)
+def parse_bases(t):
+    return parse.classes(_forms(t)).select("class_id", "start_line", "end_line", F.array_join("base_classes", ",").alias("bases"))
+
+
+@query(f"SELECT {_METHOD} AS function_id, CAST(6 * i + 1 AS INT) AS start_line, CAST(6 * i + 3 AS INT) AS end_line, {_ID} AS parent_id FROM forms", **_FORM)
+def parse_decorated(t):
+    return parse.functions(_forms(t)).select("function_id", "start_line", "end_line", "parent_id")
+
+
+@query(f"SELECT {_METHOD} AS caller_id, c.pos, CASE WHEN c.pos = 0 THEN 'm' || k[2:] ELSE c.name END AS callee_name, c.receiver, CAST(6 * i + c.line AS INT) AS line FROM forms, (VALUES (0, NULL, 'self', 2), (1, 'helper', 'a.b', 3), (2, 'inner', NULL, 3)) c(pos, name, receiver, line)", **_FORM)
+def parse_receivers(t):
+    return parse.call_sites(_forms(t))
+
+
+@query("SELECT DISTINCT module_id AS source_path, c.* FROM forms, (VALUES (0, 'os.path', 0, '', 1), (1, 'sys', 0, '', 1), (2, 'up', 2, '*', 2), (3, NULL, 1, 'one,three', 3)) c(pos, module, level, names, line)", **_FORM)
+def parse_import_forms(t):
+    return parse.imports(_forms(t)).withColumn("names", F.array_join("names", ","))
+
+
+@query(f"SELECT {_ID} AS src, module_id || '::' || before AS dst, 1 AS pos FROM forms WHERE before IS NOT NULL", **_FORM)
+def inherits_edges(t):
+    return resolve.inherits_edges(parse.classes(_forms(t)))
+
+
+@query(f"""SELECT DISTINCT module_id AS node_id, 'module' AS kind, split_part(split_part(module_id, '/', -1), '.', 1) AS name, NULL AS start_line, NULL AS parent_id FROM forms
+    UNION ALL SELECT {_ID}, 'class', k, 6 * i - 1, NULL FROM forms UNION ALL SELECT {_METHOD}, 'function', 'm' || k[2:], 6 * i + 1, {_ID} FROM forms""".replace("NULL AS start_line", "CAST(NULL AS INT) AS start_line"), **_FORM)
+def graph_nodes(t):
+    return graph.nodes(_forms(t)).select("node_id", "kind", "name", "start_line", "parent_id")
+
+
+@query(f"""SELECT module_id AS src, {_ID} AS dst, 'contains' AS type, NULL AS pos FROM forms UNION ALL SELECT {_ID}, {_METHOD}, 'contains', NULL FROM forms UNION ALL SELECT {_METHOD}, {_METHOD}, 'calls', NULL FROM forms
+    UNION ALL SELECT {_ID}, module_id || '::' || before, 'inherits', 1 FROM forms WHERE before IS NOT NULL""", **_FORM)
+def graph_edges(t):
+    return graph.edges(_forms(t))
+
+
+@query("SELECT DISTINCT module_id AS relative_path, CASE WHEN length(module_id) % 2 = 0 THEN 'from the cache' END AS parse_error FROM forms", **_FORM)
+def parse_incremental(t):
+    """Modules with a path of even length are in the cache as they are, all others with another hash."""
+    files = _form_source(t).select("relative_path", F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    same = F.length("relative_path") % 2 == 0
+    cached = parse.parse(files).withColumn("parse_error", F.lit("from the cache")).join(files.select("relative_path", F.when(same, F.col("content_hash")).otherwise("old").alias("content_hash")), "relative_path")
+    return parse.parse_incremental(files, cached).select("relative_path", "parse_error")
+
+
+@query(f"SELECT DISTINCT {_ID} AS id FROM forms WHERE module_id NOT LIKE 'a%' UNION ALL SELECT 'deleted ' || CAST(count(DISTINCT module_id) AS VARCHAR) FROM forms WHERE module_id LIKE 'a%'", **_FORM)
+def catalog_modules(t):
+    """Parsed modules through the catalog and back from JSON, without those of one letter, which are deleted by path."""
+    c, m = _catalog(t), _forms(t)
+    c.upsert_modules(1, m.select("relative_path", F.lit("h").alias("content_hash"), F.to_json(F.struct(*m.columns), {"ignoreNullFields": "false"}).alias("data")))
+    gone = c.delete_modules(1, m.where("relative_path LIKE 'a%'"))
+    back = c.read("modules", 1).select(F.from_json("data", parse.MODULE).alias("m")).select("m.*")
+    return parse.classes(back).select(F.col("class_id").alias("id")).union(c.spark.createDataFrame([(f"deleted {gone}",)], "id string"))
+
+
+@query(f"""SELECT {_ID} AS node_id, 'Class:' || chr(10) || k || chr(10) || chr(10) || 'Location:' || chr(10) || module_id || ' lines ' || (6 * i - 1) || '-' || (6 * i + 3) || chr(10) || chr(10) || 'Source:' || chr(10)
+    || 'class ' || k || '(' || concat_ws(', ', 'Base', before, 'metaclass=M') || '):' || chr(10) || '    @property' || chr(10) || '    def m' || k[2:] || '(self):' || chr(10) || '        self.m' || k[2:] || '()' || chr(10) || '        a.b.helper(f"{{inner()}}")' AS fact FROM forms
+    UNION ALL SELECT {_METHOD}, 'Method:' || chr(10) || 'm' || k[2:] || chr(10) || chr(10) || 'Location:' || chr(10) || module_id || ' lines ' || (6 * i + 1) || '-' || (6 * i + 3) || chr(10) || chr(10) || 'Source:' || chr(10)
+    || 'Method ' || k || '.m' || k[2:] || chr(10) || 'Module ' || module_id || chr(10) || '    def m' || k[2:] || '(self):' || chr(10) || '        self.m' || k[2:] || '()' || chr(10) || '        a.b.helper(f"{{inner()}}")' FROM forms""", **_FORM)
+def navigation_facts(t):
+    """What is told of every class and method that is found by its name, with its source."""
+    files = store.settle(_form_source(t))
+    nodes = graph.nodes(parse.parse(files.select("relative_path", F.encode("text", "UTF-8").alias("content"))))
+    contents = chunk.chunks(nodes, files).select(F.col("chunk_id").alias("node_id"), "content")
+    return chunk.facts(nodes.where("kind <> 'module'"), contents, files, True)
+
+
+@query(f"SELECT {_METHOD} AS chunk_id, 64 AS size, 1.0::DOUBLE AS self_score FROM forms", **_FORM)
+def embed_chunks(t):
+    """Every chunk with a vector, which is the closest to itself."""
+    embedded = store.settle(chunk.embed(chunk.chunks(graph.nodes(_forms(t)), _form_source(t)), HashedWords().embed))
+    return embedded.select("chunk_id", F.size("embedding").alias("size"), F.round(X.cosine(F.col("embedding"), F.col("embedding")), 6).alias("self_score"))
+
+
+@query("SELECT 1::INT AS failures, true AS indexed, true AS stale, 'failed' AS status UNION ALL SELECT 0, true, true, 'stale' UNION ALL SELECT 0, false, false, 'not indexed' UNION ALL SELECT 0, true, false, 'healthy'")
+def health_checks(t):
+    """The state that rows of checks add up to."""
+    spark = t("region").sparkSession
+    cases = [("failed", "ok", "warning"), ("ok", "ok", "warning"), ("ok", "open", "open"), ("ok", "ok", "ok")]
+    rows = [_values(spark, list(zip(("Catalog", "Repository", "Freshness"), c, strict=True)), "check string, state string") for c in cases]
+    return reduce(DataFrame.union, [explore.health(explore.roll_up(r)) for r in rows])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -55,6 +55,12 @@ VIEWS = {
         CASE WHEN a.p_partkey % 4 = 0 THEN split_part(b.p_name, ' ', 1) WHEN a.p_partkey % 4 IN (1, 2) THEN replace(replace(replace(b.path, 'src/', ''), '/', '.'), '.py', '')
         ELSE replace(split_part(replace(b.path, 'src/', ''), '/', 2), '.py', '') END AS module, CASE WHEN a.p_partkey % 4 = 3 THEN 1 ELSE 0 END AS level
         FROM py a CROSS JOIN (SELECT count(*) AS n FROM part) k JOIN py b ON b.p_partkey = (a.p_partkey * 3 + 1) % k.n""",
+    "tree": """SELECT doc_id, text, concat(CASE doc_id % 9 WHEN 0 THEN 'pkg/' WHEN 1 THEN 'src/app/' WHEN 2 THEN 'node_modules/left/' WHEN 3 THEN 'docs/' WHEN 4 THEN 'a/.git/objects/' WHEN 5 THEN 'lib/build/' WHEN 6 THEN 'skip/deep/'
+        WHEN 7 THEN 'venvs/' ELSE '' END, CASE WHEN doc_id % 17 = 0 THEN concat('d', CAST(doc_id AS STRING), '/Makefile') ELSE concat('doc_', CAST(doc_id AS STRING),
+        CASE doc_id % 29 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.log' WHEN 3 THEN '.PNG' WHEN 4 THEN '.min.js' WHEN 5 THEN '.tsx' WHEN 6 THEN '' WHEN 7 THEN '.json' WHEN 8 THEN '.tar.gz' WHEN 9 THEN '.yml' WHEN 10 THEN '.tmp'
+        WHEN 11 THEN '.PY' WHEN 12 THEN '.lock' WHEN 13 THEN '.rs' WHEN 14 THEN '.go' WHEN 15 THEN '.h' WHEN 16 THEN '.cc' WHEN 17 THEN '.kts' WHEN 18 THEN '.zsh' WHEN 19 THEN '.swift' WHEN 20 THEN '.rb' WHEN 21 THEN '.php' WHEN 22 THEN '.cs'
+        WHEN 23 THEN '.dart' WHEN 24 THEN '.scss' WHEN 25 THEN '.sql' WHEN 26 THEN '.toml' WHEN 27 THEN '.htm' ELSE '.unknown' END) END) AS path,
+        CASE doc_id % 101 WHEN 0 THEN 1048576 WHEN 1 THEN 1048577 ELSE 0 END AS fill FROM documents""",
     "turns": """SELECT conv_id, turn, text AS question, nxt AS answer FROM (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) z WHERE role = 'user' AND nr = 'assistant'""",
     "points": "SELECT vec_id, label AS repo_id, concat('emb/v', CAST(vec_id AS STRING), '.py::f') AS chunk_id FROM embeddings",

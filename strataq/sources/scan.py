@@ -1,11 +1,14 @@
-"""Scan of a source tree: listing on the driver, contents and hashes on the executors."""
+"""Scan of a source tree: listing on the driver, contents and hashes on the executors, from any store that both reach."""
 
 from __future__ import annotations
 
+import datetime
 import fnmatch
 import os
-import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,54 +45,76 @@ def language(name: Column) -> Column:
     return F.coalesce(F.try_element_at(special, name), F.try_element_at(table, F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))))
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a root, which is a local path or a URI (file, hdfs, s3, gs)."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.abspath(root)
+
+
 def ignore_rules(root: str) -> tuple[list[str], list[str]]:
     """Directories and file patterns that the tree's own ignore file adds; one that can't be read adds none."""
+    store, top = _store(root)
     try:
-        with open(os.path.join(root, IGNORE_FILE), encoding="utf-8") as f:
-            rules = [line.strip() for line in f]
+        with store.open_input_stream(f"{top}/{IGNORE_FILE}") as f:
+            rules = [line.strip() for line in f.read().decode().splitlines()]
     except (OSError, UnicodeDecodeError):
         return [], []
     rules = [r for r in rules if r and not r.startswith("#")]
     return [r.rstrip("/") for r in rules if r.endswith("/")], [r for r in rules if not r.endswith("/")]
 
 
+def _walk(root: str, ignored: set[str]) -> tuple[list[str], list[str]]:
+    """Relative paths of files, and of the ignored directories, which are not entered."""
+    store, top = _store(root)
+    files, pruned, folders = [], [], [top]
+    while folders:
+        for info in store.get_file_info(fs.FileSelector(folders.pop(), allow_not_found=True)):
+            at = info.path[len(top) + 1 :]
+            if info.type is not fs.FileType.Directory:
+                files.append(at)
+            elif info.base_name in ignored:
+                pruned.append(at)
+            elif not ("://" not in root and os.path.islink(info.path)):  # a link may lead back
+                folders.append(info.path)
+    return files, pruned
+
+
 def scan(spark: SparkSession, root: str, repo_id: int = 0) -> DataFrame:
     """Every listed file with its disposition (ignored, binary, large, error, kept), in walk order by file_ord.
 
     repo_id, relative_path, file_ord, language, content_hash, size_bytes, last_modified, content, disposition. Ignored
-    directories are not entered; each is one row with disposition ignored_dir. The driver lists names; contents are
-    read by the executors, through Spark's file source, of files up to MAX_BYTES only. A file that can't be read is an
-    error. Names are tested first.
+    directories are not entered; each is one row with disposition ignored_dir. The driver lists names; contents are read
+    by the executors from the same store, of files up to MAX_BYTES only, a file at a time. A file that can't be read is
+    an error. Names are tested first. (Spark's own file sources leave out names that begin with _ or a dot.)
     """
     dirs, patterns = ignore_rules(root)
-    names = {*IGNORED_DIRECTORIES, *dirs}
-    listed, pruned = [], []
-    for folder, subs, files in os.walk(root):
-        pruned += [os.path.relpath(os.path.join(folder, d), root) for d in subs if d in names]
-        subs[:] = sorted(d for d in subs if d not in names)
-        listed += [os.path.relpath(os.path.join(folder, f), root) for f in sorted(files)]
-    rows = [(p.replace(os.sep, "/"), d) for d, ps in ((False, listed), (True, pruned)) for p in ps]
-    table = spark.createDataFrame(rows, "relative_path string, pruned boolean")
-    top = len(os.path.abspath(root)) + 1
-
-    def read() -> DataFrame:
-        """What Spark's reader of files gives for the listed paths; contents only up to MAX_BYTES."""
-        if not listed:
-            return spark.createDataFrame([], "relative_path string, size_bytes long, last_modified string, content binary")
-        paths = [os.path.join(os.path.abspath(root), p) for p in listed]
-        source = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        whole = source.load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths])  # paths, not patterns
-        path = F.regexp_replace("path", "^file:/*", "/")
-        stamp = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-        facts = lambda df, content: df.select(F.substring(path, top + 1, 1 << 30).alias("relative_path"), F.col("length").alias("size_bytes"), stamp.alias("last_modified"), content.alias("content"))
-        none = F.lit(None).cast("binary")
-        return facts(whole.where(F.col("length") <= MAX_BYTES), F.col("content")).union(facts(whole.where(F.col("length") > MAX_BYTES), none))
+    listed, pruned = _walk(root, {*IGNORED_DIRECTORIES, *dirs})
+    rows = [(p, d) for d, ps in ((False, listed), (True, pruned)) for p in ps]
+    table = spark.createDataFrame(rows, "relative_path string, pruned boolean").repartition(max(1, len(rows) // 256))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = _store(root)
+        for pdf in batches:
+            out = []
+            for p in pdf["relative_path"]:
+                size = stamp = content = None
+                try:
+                    info = store.get_file_info(f"{top}/{p}")
+                    size, stamp = info.size, info.mtime.astimezone(datetime.UTC).isoformat() if info.mtime else None
+                    if size is not None and size <= MAX_BYTES:
+                        with store.open_input_stream(f"{top}/{p}") as f:
+                            content = f.read()
+                except OSError:
+                    content = None
+                out.append((p, size, stamp, content))
+            yield pd.DataFrame(out, columns=["relative_path", "size_bytes", "last_modified", "content"])
 
     base = F.element_at(F.split("relative_path", "/"), -1)
     globs = "|".join(fnmatch.translate(p).replace(r"\z", r"\Z") for p in (*IGNORED_PATTERNS, *patterns))
     binary = F.lower(F.regexp_extract(base, r".(\.[^.]*)$", 1)).isin(*BINARY_EXTENSIONS)
     early = table.withColumn("early", F.when(F.col("pruned"), "ignored_dir").when(base.rlike(globs), "ignored").when(binary, "binary"))
-    got = read()
+    got = early.where("early is null").select("relative_path").mapInPandas(read, "relative_path string, size_bytes long, last_modified string, content binary")
     late = F.when(F.col("size_bytes") > MAX_BYTES, "large").when(F.col("content").isNull(), "error").otherwise("kept")
     parts = F.split("relative_path", "/")
     order = F.concat(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d: F.concat(F.lit("1"), d)), F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))

@@ -81,7 +81,7 @@ def test_hybrid_order(spark):
 @pytest.fixture
 def tree(tmp_path):
     files = {"app.py": "from lib import helper\n\ndef run():\n    helper()\n", "lib.py": "class B:\n    pass\n\nclass C(B):\n    def m(self):\n        return self.m()\n\ndef helper():\n    return 1\n",
-             "README.md": "# hi\n", "node_modules/x.js": "", "a.log": "", "i.PNG": "x", "broken.py": "def (", ".scanignore": "# c\n\nskip/\n*.tmp\n", "skip/y.py": "", "z.tmp": "", "Makefile": "all:\n"}
+             "README.md": "# hi\n", "node_modules/x.js": "", "a.log": "", "i.PNG": "x", "broken.py": "def (", ".scanignore": "# c\n\nskip/\n*.tmp\n", "skip/y.py": "", "z.tmp": "", "Makefile": "all:\n", "pkg/__init__.py": "", "_x[1].py": "a = 1\n"}
     for name, text in files.items():
         path = tmp_path / "tree" / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -96,6 +96,7 @@ def test_scan(spark, tree):
     state = {k: r["disposition"] for k, r in got.items()}
     assert state["large.txt"] == "large" and state["exact.txt"] == "kept" and state["a.log"] == "ignored" and state["i.PNG"] == "binary" and state["z.tmp"] == "ignored"
     assert state["skip"] == state["node_modules"] == "ignored_dir" and "skip/y.py" not in state
+    assert all(state[p] == "kept" and got[p]["content_hash"] for p in ("pkg/__init__.py", "_x[1].py", ".scanignore"))
     assert got["app.py"]["language"] == "python" and got["Makefile"]["language"] == "makefile" and got["exact.txt"]["language"] is None
 
 
