@@ -43,8 +43,8 @@ VIEWS = {
         UNION ALL SELECT DISTINCT a.module_id, b.module_id, 'imports', CAST(NULL AS INT) FROM (SELECT DISTINCT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = l_suppkey) x JOIN mods a ON a.n_nationkey = c_nationkey JOIN mods b ON b.n_nationkey = s_nationkey
         WHERE c_nationkey <> s_nationkey
-        UNION ALL SELECT DISTINCT a.fn_id, b.fn_id, 'calls', CAST(NULL AS INT) FROM lineitem JOIN meth a ON a.p_partkey = l_partkey CROSS JOIN (SELECT count(*) AS n FROM part) k
-        JOIN meth b ON b.p_partkey = (l_partkey * 7 + l_linenumber * 13 + l_suppkey) % k.n""",
+        UNION ALL SELECT DISTINCT a.fn_id, b.fn_id, 'calls', CAST(NULL AS INT) FROM (SELECT DISTINCT l_partkey, (l_partkey * 7 + l_linenumber * 13 + l_suppkey) % n AS callee FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM part) k) x
+        JOIN meth a ON a.p_partkey = x.l_partkey JOIN meth b ON b.p_partkey = x.callee""",
     "py": """SELECT p_partkey, p_name, concat(CASE WHEN p_name LIKE '%ring' THEN 'src/' ELSE '' END, replace(p_name, ' ', '/'), '_', CAST(p_size AS STRING), '.py') AS path FROM part""",
     "paths": """SELECT path FROM py
         UNION SELECT concat('src/', path) FROM py WHERE p_name LIKE '%rod'
