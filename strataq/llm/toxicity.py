@@ -26,6 +26,8 @@ FREQUENT = 0.02
 #: Steps on the associated terms alone, then on all of them, with their rates.
 STEPS, ALL_STEPS = (120, 0.05), (15, 0.02)
 FACTORS, DECAY = 6, 1e-4
+#: Terms of a block of rows, whose gradients are added up at a time.
+BLOCK = 1 << 17
 #: What a term without association counts for, where a fully associated one counts 1.
 FLOOR = 0.1
 #: A word also counts as its first bytes, so that unseen forms of a seen root are met.
@@ -90,10 +92,26 @@ def _forward(bias, w, v, rows, cols, n, x=None):
     return bias + np.bincount(rows, w[cols] * x, n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
+def _blocks(rows: np.ndarray, cols: np.ndarray, n: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of whole rows with about BLOCK terms each, and their terms: (first row, end, rows counted from the first, terms)."""
+    ends = np.searchsorted(rows, np.arange(n), "right")
+    cuts = np.unique(np.searchsorted(ends, np.arange(BLOCK, len(rows) + BLOCK, BLOCK)) + 1).clip(max=n).tolist()
+    starts = [0, *cuts]
+    if starts[-1] < n:
+        cuts.append(n)
+    out = []
+    for lo, hi in zip(starts, cuts, strict=False):
+        if lo < hi:
+            at = slice(ends[lo - 1] if lo else 0, ends[hi - 1])
+            out.append((lo, hi, rows[at] - np.int32(lo), cols[at]))
+    return out
+
+
 def fit(active: list[np.ndarray], labels: np.ndarray, index: dict[int, int], strength: np.ndarray, core: np.ndarray) -> Model:
     """Adam on the mean log loss, first over the core terms, then over all; the same rows give the same model.
 
-    A term counts as its strength, which is folded into its weight and factors at the end.
+    A term counts as its strength, which is folded into its weight and factors at the end. Each step adds up the gradients of
+    blocks of rows, so it needs little memory beside the terms themselves.
     """
     rng = np.random.default_rng(7)
     size, n = len(index), len(labels)
@@ -104,19 +122,25 @@ def fit(active: list[np.ndarray], labels: np.ndarray, index: dict[int, int], str
     v[~core] *= 0.2
     rows = np.repeat(np.arange(n, dtype=np.int32), [len(a) for a in active])
     cols = np.concatenate(active).astype(np.int32)
-    mine = core[cols]
-    phases = [(*STEPS, core, rows[mine], cols[mine]), (*ALL_STEPS, np.ones(size, dtype=bool), rows, cols)]
-    for steps, pace, moving, rows, cols in phases:
-        x = strength[cols]
+    for steps, pace, moving in ((*STEPS, core), (*ALL_STEPS, np.ones(size, dtype=bool))):
+        used = moving[cols]
+        blocks = _blocks(rows[used], cols[used], n)
         m, s = [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]
         for step in range(1, steps + 1):
-            out, sums = _forward(b, w, v, rows, cols, n, x)
-            g = (_sigmoid(out) - labels) / n * 10
-            gx = g[rows] * x
-            gw = np.bincount(cols, gx, size) + DECAY * w
-            own = np.bincount(cols, gx * x, size)
-            gv = np.stack([np.bincount(cols, gx * sums[rows, f], size) for f in range(FACTORS)], 1) - own[:, None] * v + DECAY * v
-            for i, grad in enumerate((gw * moving, gv * moving[:, None], g.sum())):
+            gw, own, gv, gb = np.zeros(size), np.zeros(size), np.zeros((size, FACTORS)), 0.0
+            for lo, hi, r, c in blocks:
+                x = strength[c]
+                out, sums = _forward(b, w, v, r, c, hi - lo, x)
+                g = (_sigmoid(out) - labels[lo:hi]) / n * 10
+                gx = g[r] * x
+                gw += np.bincount(c, gx, size)
+                own += np.bincount(c, gx * x, size)
+                for f in range(FACTORS):
+                    gv[:, f] += np.bincount(c, gx * sums[r, f], size)
+                gb += g.sum()
+            gw += DECAY * w
+            gv += DECAY * v - own[:, None] * v
+            for i, grad in enumerate((gw * moving, gv * moving[:, None], gb)):
                 m[i] = 0.9 * m[i] + 0.1 * grad
                 s[i] = 0.99 * s[i] + 0.01 * grad**2
                 move = pace * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
@@ -183,10 +207,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = M
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "active": active_terms(pdf["text"].tolist(), known)})
 
-    rows = train.mapInPandas(reduce, "doc_id long, toxic int, active array<int>").toPandas().sort_values("doc_id", kind="stable")
+    rows = train.mapInPandas(reduce, "doc_id long, toxic int, active array<int>").toArrow()
     common.discard(sample, train)
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    lists = rows["active"].combine_chunks()
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     weights, core = np.array([r["strength"] for r in picked]), np.array([r["told"] for r in picked], dtype=bool)
-    return fit([np.asarray(x, dtype=np.int32) for x in rows["active"]], rows["toxic"].to_numpy(float), index, weights, core)
+    model = fit([flat[at[i] : at[i + 1]] for i in order], rows["toxic"].to_numpy()[order].astype(float), index, weights, core)
+    del rows, lists, flat
+    common.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:

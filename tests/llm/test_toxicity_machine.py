@@ -65,3 +65,27 @@ def test_reject_judges_every_row(spark):
     assert kept.schema == docs.schema
     assert sorted(kept.select(F.coalesce("score", F.lit("-"))).collect()) == sorted([("b",), ("d",), ("-",), ("e",), ("e",)])
     assert toxicity.reject(docs.limit(0), model).count() == 0
+
+
+def test_blocks_hold_every_row_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    for block in (1, 3, 50, 10_000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        for n in (1, 2, 40):
+            rows = np.repeat(np.arange(n, dtype=np.int32), rng.integers(0, 6, n))
+            cols = rng.integers(0, 9, len(rows)).astype(np.int32)
+            blocks = toxicity._blocks(rows, cols, n)
+            assert [lo for lo, *_ in blocks] == [0, *[hi for _, hi, *_ in blocks][:-1]] and blocks[-1][1] == n
+            assert np.concatenate([r + lo for lo, _, r, _ in blocks]).tolist() == rows.tolist()
+            assert np.concatenate([c for *_, c in blocks]).tolist() == cols.tolist()
+
+
+def test_fit_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    active = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(300)]
+    y = np.array([float(0 in a and 1 in a) for a in active])
+    index, strength, core = {t: t for t in range(6)}, np.array([1.0, 1.0, 0.5, 0.1, 0.1, 0.1]), np.array([True] * 3 + [False] * 3)
+    whole = toxicity.fit(active, y, index, strength, core)
+    monkeypatch.setattr(toxicity, "BLOCK", 20)
+    parts = toxicity.fit(active, y, index, strength, core)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.factors, parts.factors) and np.isclose(whole.bias, parts.bias)
