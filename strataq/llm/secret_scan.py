@@ -104,16 +104,23 @@ TRIGRAMS = sorted({t for q in QUERIES.values() if q for a in q for t in a})
 WORDS = -(-len(TRIGRAMS) // 62)  # columns of 62 bits
 
 
-def _bits(text: Column) -> list[Column]:
-    """What the bitmap holds of one document."""
-    low = F.lower(text)
-    held = [F.when(F.contains(low, F.lit(t)), F.lit(1 << (i % 62)).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(TRIGRAMS)]
-    return [reduce(lambda a, b: a.bitwiseOR(b), held[62 * k : 62 * (k + 1)]).alias(f"m{k}") for k in range(WORDS)]
+def _once(value: Column, f) -> Column:
+    """f of a value, which f would evaluate wherever it has it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _bits(text: Column) -> Column:
+    """What the bitmap holds of one document, as a struct of m0, m1, ... The trigrams are a literal array that one loop goes through: written out, each would add to a single generated method."""
+    words = lambda value: F.struct(*[value(k).alias(f"m{k}") for k in range(WORDS)])
+    bit = lambda i: words(lambda k: F.lit(1 << (i % 62) if i // 62 == k else 0).cast("long"))
+    grams = F.array(*[F.struct(F.lit(t).alias("gram"), bit(i).alias("bit")) for i, t in enumerate(TRIGRAMS)])
+    either = lambda acc, g: words(lambda k: acc[f"m{k}"].bitwiseOR(g["bit"][f"m{k}"]))
+    return _once(F.lower(text), lambda low: F.aggregate(F.filter(grams, lambda g: F.contains(low, g["gram"])), words(lambda k: F.lit(0).cast("long")), either))
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """The index as bitmaps: doc_id, m0, m1, ...; bit i % 62 of column i // 62 is set for the postings of trigram i."""
-    return common.whole_texts(docs).select("doc_id", *_bits(F.col("text")))
+    return common.whole_texts(docs).select("doc_id", _bits(F.col("text")).alias("bits")).select("doc_id", "bits.*")
 
 
 def write_index(docs: DataFrame, path: str) -> None:
@@ -151,11 +158,10 @@ BLOCK = 256
 
 def _spans(text: Column, r: int, rule: Rule) -> Column:
     """Spans of one rule: the pieces between its matches and the matches themselves give the places, in code points."""
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  f would evaluate value wherever it has it
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     paired = lambda whole: F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), whole, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("m")))
-    steps = F.zip_with(once(whole, paired), counted, lambda pm, g: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (F.length(g) >= rule.least).alias("ok"))) if rule.group else F.transform(once(whole, paired), lambda pm: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (pm["m"] >= rule.least).alias("ok")))
+    steps = F.zip_with(_once(whole, paired), counted, lambda pm, g: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (F.length(g) >= rule.least).alias("ok"))) if rule.group else F.transform(_once(whole, paired), lambda pm: F.struct(pm["p"].alias("p"), pm["m"].alias("m"), (pm["m"] >= rule.least).alias("ok")))
     place = "struct<at:long,spans:array<struct<start:long,end:long,ok:boolean>>>"
 
     def placed(block: Column) -> Column:
@@ -179,10 +185,10 @@ def _spans(text: Column, r: int, rule: Rule) -> Column:
                 F.array_append(acc["done"], F.transform(b["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["ok"].alias("ok")))).alias("done"),
             ),
         )
-        good = F.filter(F.flatten(once(moved, lambda m: m["done"])), lambda s: s["ok"])
+        good = F.filter(F.flatten(_once(moved, lambda m: m["done"])), lambda s: s["ok"])
         return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(r).alias("rule"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), once(steps, whole_text)).otherwise(F.array().cast(SPANS))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), _once(steps, whole_text)).otherwise(F.array().cast(SPANS))
 
 
 def _marked(text: Column, rules: Column) -> Column:
@@ -199,8 +205,8 @@ def find(docs: DataFrame) -> DataFrame:
     an empty table gives an empty one; other columns are ignored. Nothing moves.
     """
     common.prepare(docs.sparkSession)
-    held = common.whole_texts(docs).select("doc_id", "text", *_bits(F.col("text")))
-    asked = held.select("doc_id", "text", _rules([F.col(f"m{k}") for k in range(WORDS)]).alias("rules"))
+    held = common.whole_texts(docs).select("doc_id", "text", _bits(F.col("text")).alias("bits"))
+    asked = held.select("doc_id", "text", _rules([F.col(f"bits.m{k}") for k in range(WORDS)]).alias("rules"))
     return asked.select("doc_id", _marked(F.col("text"), F.col("rules")).alias("spans"))
 
 
@@ -220,7 +226,6 @@ def remove(docs: DataFrame) -> DataFrame:
     """The rows without a secret, with all their columns, as they are; rows without an id or with a repeated one are judged like any other."""
     common.prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = [f"__bits_{k}" for k in range(WORDS)]
-    held = docs.select("*", *[b.alias(n) for b, n in zip(_bits(text), names, strict=True)])
-    marked = held.withColumn("__spans", _marked(text, _rules([F.col(n) for n in names])))
-    return marked.where(F.size("__spans") == 0).drop("__spans", *names)
+    held = docs.withColumn("__bits", _bits(text))
+    marked = held.withColumn("__spans", _marked(text, _rules([F.col(f"__bits.m{k}") for k in range(WORDS)])))
+    return marked.where(F.size("__spans") == 0).drop("__spans", "__bits")

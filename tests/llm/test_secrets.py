@@ -100,3 +100,22 @@ def test_stored_index_names_the_candidates(spark, tmp_path):
 def test_queries_of_the_rules():
     assert secret_scan.QUERIES["hex"] is None
     assert secret_scan.QUERIES["access"] == frozenset([frozenset(["aki", "kia"])])
+
+
+def test_trigrams_add_no_generated_code(spark, tmp_path, monkeypatch):
+    def largest(df):
+        parts = df._jdf.queryExecution().debug().codegenToSeq()
+        return max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size()))
+
+    table(spark, [*enumerate([*EDGES, *TEXTS])]).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    assert largest(secret_scan.digest(df)) < 4000
+    rng = random.Random(3)
+    grams = sorted({"".join(rng.choice("abcdefkortswx=: _") for _ in range(3)) for _ in range(300)})
+    monkeypatch.setattr(secret_scan, "TRIGRAMS", grams)
+    monkeypatch.setattr(secret_scan, "WORDS", -(-len(grams) // 62))
+    index = secret_scan.postings(df)
+    assert largest(index) < 1000  # some for each word of 62 trigrams, none for each trigram
+    for r in index.collect():
+        low = ([*EDGES, *TEXTS][r["doc_id"]] or "").lower()
+        assert [r[f"m{i // 62}"] >> i % 62 & 1 for i in range(len(grams))] == [g in low for g in grams]
