@@ -9,6 +9,7 @@ import uuid
 import weakref
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def trim() -> None:
-    """In a Python worker: give freed memory back to the system. Workers live on from one stage to the next."""
+    """In a Python worker: give freed memory, Arrow's too, back to the system. Workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

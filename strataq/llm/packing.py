@@ -21,6 +21,8 @@ LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker keeps.
 MOST_WORDS = 600_000
+#: Characters of text whose pre-tokens a worker holds at a time, or one text if it is longer.
+BLOCK_CHARS = 1 << 20
 _SHIFT = np.int64(44)
 
 # For texts that are of these characters only when lower-cased, pre-tokens can be found here and looked up one by one; all
@@ -79,7 +81,17 @@ class WordTokenizer:
             return None
         return _PRETOKEN.findall(low)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. Texts are taken in blocks, as pre-tokens need many times the memory of their text."""
+        first, size = 0, 0
+        for i, t in enumerate(texts):
+            if i > first and size + len(t) > BLOCK_CHARS:
+                yield from self._encode(texts[first:i])
+                first, size = i, 0
+            size += len(t)
+        yield from self._encode(texts[first:])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > MOST_WORDS:
             self.reset()
         parts = [self._pretokens(t) for t in texts]
@@ -166,6 +178,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     common.prepare(docs.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.trim()  # what stages before left in this worker
         tok, seen, part = tokenizer(path), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
         for pdf in batches:
             rows = []

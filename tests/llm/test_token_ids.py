@@ -1,6 +1,7 @@
 """Ids and counts against the tokenizers library, over all characters of the fast paths and beyond."""
 
 import random
+import tracemalloc
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -33,6 +34,20 @@ def test_packing_ids_are_the_library_s():
         assert ids.tolist() == want.ids, repr(t)
 
 
+def test_packing_holds_few_pretokens_at_a_time():
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    text = "the cat sat on a mat " * 5_000
+    many, want = [text, "", "A b", "x\u4e00"] * 40, [own.whole(t).tolist() for t in (text, "", "A b", "x\u4e00")]
+    list(own.encode(many[:4]))
+    tracemalloc.start()
+    n = 0
+    for k, ids in enumerate(own.encode(many)):
+        n += ids.tolist() == want[k % 4] if k < 4 or k > 150 or k % 4 else len(ids) == len(want[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(many) and peak < 45e6, peak  # 69 MB when all 4.2 MB of text were held at once
+
+
 def test_letters_from_elsewhere():
     """All characters that leave the fast path's set only by being lower-cased into it."""
     inside = lambda t: not packing._OTHER.search(t)
