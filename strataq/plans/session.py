@@ -230,7 +230,7 @@ class Session:
             reply = self.answers.generate(chunk.navigation_prompt(question, [r["fact"] for r in facts.orderBy("node_id").collect()]))
         else:
             by_vector = self.vectors.query(self.embeddings.embed([question])[0], repo_id, k).select(F.lit(0).alias("query_id"), "chunk_id", "rank")
-            by_name = retrieve.lexical_match(nodes, q).select("query_id", F.col("node_id").alias("chunk_id"), "rank")
+            by_name = retrieve.lexical_match(nodes, q, k).select("query_id", F.col("node_id").alias("chunk_id"), "rank")
             hits = retrieve.hybrid(by_vector, by_name, k)
             if hits.isEmpty():
                 raise NoResults(question)
