@@ -55,11 +55,14 @@ def dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_inspect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node with its attributes and, for each direction and type of its edges, their number and all neighbours, sorted. A node without edges has one row."""
-    ends = F.array(F.struct(F.col("src").alias("node_id"), F.lit("out").alias("direction"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.lit("in").alias("direction"), F.col("src").alias("other")))
-    flat = edges.select("type", F.explode(ends).alias("e")).select("type", "e.*")
-    own = flat.join(nodes.select("node_id"), "node_id", "left_semi")
-    listed = own.groupBy("node_id", "direction", "type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("other")).alias("others"))
-    return nodes.select("node_id", "kind", "name", "start_line", "end_line").join(listed, "node_id", "left")
+    ends = F.array(F.struct(F.col("src").alias("node_id"), F.lit(True).alias("out"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.lit(False).alias("out"), F.col("src").alias("other")))
+    flat = edges.select("type", F.explode(ends).alias("e")).select("e.node_id", F.struct("e.out", "type").alias("way"), "e.other")
+    # By node alone, so that lists are moved once and meet their node where they are made; ends that are no node find none.
+    held = flat.groupBy("node_id").agg(F.collect_list(F.struct("way", "other")).alias("x"))
+    lists = F.transform(F.array_distinct("x.way"), lambda w: F.struct(w.alias("way"), F.array_sort(F.transform(F.filter("x", lambda e: e["way"] == w), lambda e: e["other"])).alias("others")))
+    own = nodes.select("node_id", "kind", "name", "start_line", "end_line").join(held, "node_id", "left").select("node_id", "kind", "name", "start_line", "end_line", F.explode_outer(lists).alias("l"))
+    direction = F.when(F.col("l.way.out"), "out").when(~F.col("l.way.out"), "in")
+    return own.select("node_id", "kind", "name", "start_line", "end_line", direction.alias("direction"), F.col("l.way.type").alias("type"), F.when(F.col("l").isNotNull(), F.size("l.others")).cast("long").alias("n"), F.col("l.others").alias("others"))
 
 
 def largest_modules(nodes: DataFrame, k: int = 5) -> DataFrame:
